@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Callable
 
@@ -93,7 +94,7 @@ def forced_cut(text: str, low: int, high: int) -> int:
         if text[i - 1].isspace():
             return i
     i = high
-    while i > low + 1 and i < len(text) and (text[i] in "‍‌" or re.match(r"[̀-ًͯ-ٕ️]", text[i])):
+    while i > low + 1 and i < len(text) and (text[i] in "\u200d\u200c\ufe0f" or unicodedata.combining(text[i])):
         i -= 1
     return i
 
@@ -172,7 +173,7 @@ _STRETCH = (
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p5_found": p5_found, "p5_pieces": p5_pieces}
 ORACLE: dict[str, str] = {
     "p5_found": " UNION ALL ".join(
-        f"SELECT row_id, '{f}' AS field, CASE WHEN {_STRETCH.format(c=f)} > {n} THEN 'forced' ELSE 'natural' END AS cut FROM text_chunks WHERE length({f}) > {n}"
+        f"SELECT row_id, '{f}' AS field, CASE WHEN {_STRETCH.replace('{c}', f)} > {n} THEN 'forced' ELSE 'natural' END AS cut FROM text_chunks WHERE length({f}) > {n}"
         for f, n in LIMITS.items()
     )
 }
