@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encode, split
+from . import encode, language, split
 
-MODULES = (encode, split)
+MODULES = (language, split, encode)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
