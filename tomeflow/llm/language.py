@@ -78,9 +78,16 @@ def label_language(label: str | None) -> str | None:
     return NAMED.get(base, "?")
 
 
-def wordy(line: str) -> bool:
-    """Has the line words, rather than symbols, numbers and units only?"""
-    return any(len(w) > 2 and w not in SYMBOLS or len(w) == 2 and "؀" < w < "܀" for w in WORD.findall(line))
+ROMAN = re.compile(r"[ivxlcdm]+", re.I)
+
+
+def wordy(line: str, words: list[str]) -> bool:
+    """Has the line words, rather than symbols, numbers, units, abbreviations and Roman numerals only?"""
+    real = [w for w in words if (len(w) > 2 or len(w) == 2 and w >= "\u0600") and w not in SYMBOLS]
+    if not real or len(real) > 3:
+        return bool(real)
+    short = {w.lower() for w in WORD.findall(line) if len(w) < 6 and (w.isupper() and w.isascii() or ROMAN.fullmatch(w))}
+    return any(w not in short for w in real)
 
 
 _letter: dict[str, np.ndarray] = {}
