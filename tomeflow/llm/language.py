@@ -36,7 +36,7 @@ SCRIPTS = {"arabic": (0, 4), "latin": (1, 2, 3, 5, 6)}
 DIM = 8192
 SAMPLE = 4000
 #: A line leaves the text's main language if its cosine margin times the root of its n-grams exceeds this.
-SWITCH = 0.35
+SWITCH = 0.6
 WORD = re.compile(r"[^\W\d_]+")
 UNIT = re.compile(r"[^\W\d_]+|[¿¡]")  # what n-grams are made of
 
