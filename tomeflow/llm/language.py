@@ -257,12 +257,18 @@ def languages(text: str, profiles: Profiles) -> tuple[str, float, list[tuple[str
 
 
 def labelled_sample(df: DataFrame, key: str, text: str, label: str, size: int = SAMPLE) -> list[tuple[str, str]]:
-    """(language, text) of at most ``size`` labelled rows, the first by a hash of the key."""
+    """(language, text) of about ``size`` labelled rows: those whose key's hash is below the sampled share.
+
+    The rows are counted first, so that the tasks hand the driver only what is kept.
+    """
+    labelled = df.filter(F.col(label).isNotNull() & (F.length(F.trim(label)) > 0))
+    n = labelled.count()
+    share = min(1.0, size / max(n, 1))
     rows = (
-        df.select(F.xxhash64(key).alias("h"), F.col(label).alias("label"), F.substring(F.col(text), 1, 4000).alias("t"))
-        .filter(F.col("label").isNotNull() & (F.length(F.trim("label")) > 0) & F.col("t").isNotNull())
+        labelled.filter(F.col(text).isNotNull() & (F.abs(F.xxhash64(key) % F.lit(1_000_003)) < F.lit(int(share * 1_000_003) + 1)))
+        .select(F.xxhash64(key).alias("h"), F.col(label).alias("label"), F.col(text).alias("t"))
         .orderBy("h", "t")
-        .limit(size)
+        .limit(2 * size)
         .collect()
     )
     return [(lang, r["t"]) for r in rows if (lang := label_language(r["label"])) in LANGS]
