@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encode, language, split
+from . import canonical, encode, language, split
 
-MODULES = (language, split, encode)
+MODULES = (language, canonical, split, encode)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
