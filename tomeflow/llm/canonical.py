@@ -27,21 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Counts, map_rows, table
-from .lookalikes import CYRILLIC, GREEK, HYPHENS, IGNORABLE, KEEP, OTHER_LATIN, SPACES, TASHKEEL, TO_ARABIC, TO_LATIN, TO_PERSIAN, plain_forms
+from .common import CACHE, Counts, map_rows, shared_checkpoint, table
+from .lookalikes import CYRILLIC, GREEK, HYPHENS, IGNORABLE, KEEP, OTHER_LATIN, PLAIN, SPACES, TASHKEEL, TO_ARABIC, TO_LATIN, TO_PERSIAN, plain_forms
 
 FIELDS = ("raw_text", "heading", "chapter")
 
-# What the JVM keeps: values with any character that could be odd.  Persian letters are kept
-# only together with Arabic evidence, and the other way round (see ``segments``).
-_ODD = (
-    r"[\x{a0}\x{ad}\x{131}\x{180e}\x{251}\x{261}\x{300}-\x{36f}\x{391}-\x{397}\x{399}-\x{39d}\x{39f}\x{3a1}\x{3a4}\x{3a5}\x{3a7}\x{3bd}\x{3bf}\x{3c1}\x{400}-\x{52f}\x{61c}\x{653}-\x{655}"
-    r"\x{6be}\x{6c1}\x{6d2}\x{6d5}\x{115f}\x{1160}\x{1680}\x{2000}-\x{200b}\x{200d}-\x{200f}\x{2010}\x{2011}\x{2028}-\x{202f}\x{2043}\x{205f}-\x{206f}\x{2100}-\x{214f}\x{3000}-\x{33ff}"
-    r"\x{fb00}-\x{fdff}\x{fe00}-\x{fe0f}\x{fe50}-\x{feff}\x{ff00}-\x{ffef}\x{1d400}-\x{1dfff}\x{1e000}-\x{1efff}\x{1f100}-\x{1f1ff}\x{1fb00}-\x{1feff}]"
-)
-_PERSIAN, _ARABIC = r"[یک]", r"[يكةأإى]|(^|[^\p{L}\p{M}])ال"
-_ZWNJ = r"(^|[^\x{621}-\x{6d3}\x{64b}-\x{652}])\x{200c}|\x{200c}([^\x{621}-\x{6d3}]|$)"
-
+_PERSIAN, _ARABIC = re.compile(r"[یک]"), re.compile(r"[يكةأإى]")
 TOKEN = re.compile(r"[^\W_]+(?:[^\W_]|[" + re.escape(IGNORABLE + TASHKEEL) + r"̀-ٓͯ-ٕ])*")
 _WORDLY = re.compile(r"[^\s\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e،؛؟«»“”„–—…|¡¿]+")
 
@@ -49,9 +40,9 @@ _WORDLY = re.compile(r"[^\s\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e،؛؟«»“”
 CLASS = {ord(a): b for a, b in (TO_LATIN | TO_ARABIC).items()} | {ord("ى"): "ي"} | {ord(c): None for c in IGNORABLE + TASHKEEL}
 
 
-def odd(values: Column) -> Column:
-    """JVM filter: could this value hold an odd character?"""
-    return values.rlike(_ODD) | (values.rlike(_PERSIAN) & values.rlike(_ARABIC)) | values.rlike(_ZWNJ)
+def odd(value: str) -> bool:
+    """Could this value hold an odd character?  Of plain characters only Persian letters beside Arabic ones could be."""
+    return not PLAIN.fullmatch(value) or bool(_PERSIAN.search(value) and _ARABIC.search(value))
 
 
 def skeleton(token: str) -> str:
@@ -195,43 +186,56 @@ def canonical_of(token: str, kind: str, trie: Trie) -> tuple[str, str]:
     return by_table(token, kind), "table"
 
 
-def word_counts(values: DataFrame) -> DataFrame:
-    """(form, n): clean words of all values, and the tokens with an odd character (n = 0), counted in the tasks first."""
-    schema = pa.schema([("skeleton", pa.string()), ("form", pa.string()), ("kind", pa.string()), ("n", pa.int64())])
+def census(values: DataFrame) -> DataFrame:
+    """One pass over all values (row_id, field, value): clean words and odd tokens with their counts, added up in the tasks, and the odd tokens of each value.
+
+    (skeleton, form, kind, n, row_id, field): ``kind`` is null for clean words, ``row_id`` is null for counts.
+    """
+    schema = pa.schema([("skeleton", pa.string()), ("form", pa.string()), ("kind", pa.string()), ("n", pa.int64()), ("row_id", pa.int64()), ("field", pa.string())])
 
-    def rows(items: list) -> dict[str, list]:
+    def rows(items: list, hits: list) -> dict[str, list]:
+        forms = [k if isinstance(k, str) else k[0] for k, _ in items]
         return {
-            "skeleton": [skeleton(k) if isinstance(k, str) else skeleton(k[0]) for k, _ in items],
-            "form": [k if isinstance(k, str) else k[0] for k, _ in items],
-            "kind": [None if isinstance(k, str) else k[1] for k, _ in items],
-            "n": [n for _, n in items],
+            "skeleton": [skeleton(f) for f in forms] + [None] * len(hits),
+            "form": forms + [h[2] for h in hits],
+            "kind": [None if isinstance(k, str) else k[1] for k, _ in items] + [h[3] for h in hits],
+            "n": [n for _, n in items] + [0] * len(hits),
+            "row_id": [None] * len(items) + [h[0] for h in hits],
+            "field": [None] * len(items) + [h[1] for h in hits],
         }
 
     def make() -> Callable:
         counts = Counts()
+        known: set[tuple[str, str]] = set()
 
         def one(c: dict[str, list]) -> dict[str, list] | None:
             if not c:
-                return rows(counts.drain())
-            for value, suspicious in zip(c["value"], c["odd"], strict=True):
-                if suspicious:
-                    counts.add(strange_tokens(value))
-                    counts.add(w for w, kind in tokens_of(value) if not strange(w, kind))
+                return rows(counts.drain(), [])
+            hits: list[tuple] = []
+            for i, f, value in zip(c["row_id"], c["field"], c["value"], strict=True):
+                if odd(value):
+                    found = set(strange_tokens(value))
+                    hits += [(i, f, w, k) for w, k in found]
+                    counts.add(x for x in found if x not in known)
+                    known.update(found)
+                    if len(known) > CACHE:
+                        known.clear()
+                    counts.add(w for w, k in tokens_of(value) if not strange(w, k))
                 else:
                     counts.add(_WORDLY.findall(value))
-            return rows(counts.drain()) if counts.full else None
+            return rows(counts.drain() if counts.full else [], hits) if hits or counts.full else None
 
         return one
 
-    return map_rows(values, make, schema, "skeleton string, form string, kind string, n bigint", after=lambda one: one({}))
+    return map_rows(values, make, schema, "skeleton string, form string, kind string, n bigint, row_id bigint, field string", after=lambda one: one({}))
 
 
-def canonical_forms(values: DataFrame) -> DataFrame:
-    """(form, kind, canonical, origin) of every distinct odd token of ``values`` (value, odd)."""
-    counted = word_counts(values).groupBy("skeleton", "form", "kind").agg(F.sum("n").alias("n"))
-    # A word seen once could itself be a slip; numbers and odd tokens stay as they are.
-    useful = counted.filter("kind IS NOT NULL OR n > 1")
-    parts = useful.repartition(F.col("skeleton")).sortWithinPartitions("skeleton")
+def canonical_forms(counted: DataFrame) -> DataFrame:
+    """(form, kind, canonical, origin) of every distinct odd token of a census."""
+    total = counted.filter("row_id IS NULL").groupBy("skeleton", "form", "kind").agg(F.sum("n").alias("n"))
+    # A word seen once could itself be a slip; odd tokens stay in any case.
+    useful = total.filter("kind IS NOT NULL OR n > 1")
+    parts = useful.repartition(F.col("skeleton"))
     schema = pa.schema([("form", pa.string()), ("kind", pa.string()), ("canonical", pa.string()), ("origin", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,31 +253,20 @@ def canonical_forms(values: DataFrame) -> DataFrame:
     return parts.select("form", "kind", "n").mapInArrow(run, "form string, kind string, canonical string, origin string")
 
 
-def odd_tokens(values: DataFrame) -> DataFrame:
-    """(row_id, field, form, kind): the distinct odd tokens of each value."""
-    schema = pa.schema([("row_id", pa.int64()), ("field", pa.string()), ("form", pa.string()), ("kind", pa.string())])
-
-    def make() -> Callable:
-        def one(c: dict[str, list]) -> dict[str, list]:
-            got = [(i, f, w, k) for i, f, v in zip(c["row_id"], c["field"], c["value"], strict=True) for w, k in set(strange_tokens(v))]
-            return {n: [r[j] for r in got] for j, n in enumerate(schema.names)}
-
-        return one
-
-    return map_rows(values, make, schema, "row_id bigint, field string, form string, kind string")
-
-
 def field_values(df: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
-    """(row_id, field, value, odd) of the given fields, nulls left out."""
+    """(row_id, field, value) of the given fields, nulls left out."""
     each = F.array(*(F.struct(F.lit(n).alias("field"), c.cast("string").alias("value")) for n, c in fields.items()))
-    return df.select(F.col(key).cast("bigint").alias("row_id"), F.inline(each)).filter("value IS NOT NULL").withColumn("odd", odd(F.col("value")))
+    return df.select(F.col(key).cast("bigint").alias("row_id"), F.inline(each)).filter("value IS NOT NULL")
 
 
 def inconsistent(values: DataFrame) -> DataFrame:
-    """(row_id, field, form, canonical, origin): every odd token with its canonical spelling."""
-    forms = canonical_forms(values)
-    tokens = odd_tokens(values.filter("odd").select("row_id", "field", "value"))
-    return tokens.join(forms, ["form", "kind"]).filter("canonical <> form").select("row_id", "field", "form", "canonical", "origin")
+    """(row_id, field, form, canonical, origin): every odd token with its canonical spelling.
+
+    The census is written once to the shared checkpoint; both its halves are read from there.
+    """
+    counted = shared_checkpoint(census(values))
+    tokens = counted.filter("row_id IS NOT NULL").select("row_id", "field", "form", "kind")
+    return tokens.join(canonical_forms(counted), ["form", "kind"]).filter("canonical <> form").select("row_id", "field", "form", "canonical", "origin")
 
 
 def consistent_text(text: str | None, forms: dict[str, str] | None) -> str | None:
@@ -308,7 +301,7 @@ def p3_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         return one
 
-    return map_rows(values.filter("odd").drop("odd").join(forms, ["row_id", "field"]), make, schema, "row_id bigint, field string, value string")
+    return map_rows(values.join(forms, ["row_id", "field"]), make, schema, "row_id bigint, field string, value string")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_text": p3_text}
