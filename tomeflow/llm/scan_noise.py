@@ -201,8 +201,12 @@ def natural(a: str, b: str, forms: Forms) -> bool:
 
 # The word for a page in the languages of the texts.
 _PAGE = r"(?:page|seite|página|pagina|صفحة|صفحه)"
-_NUMBER = re.compile(rf"([-–—.\[(]\s*)?({_PAGE}\s*)?(\d{{1,4}}|[ivxlcdm]{{1,8}}|[٠-٩]{{1,4}}|[۰-۹]{{1,4}})(\s*/\s*[\d٠-٩۰-۹]+)?\s*([-–—.\])])?", re.I)
-_SEPARATOR = re.compile(r"\t+|\s{2,}|\s\|\s|\s+[–—]\s+")
+_ANY = r"(?:\d{1,4}|[ivxlcdm]{1,8}|[٠-٩]{1,4}|[۰-۹]{1,4})"
+_NUMBER = re.compile(rf"([-–—.\[(]\s*)?({_PAGE}\s*)?({_ANY})(\s*/\s*[\d٠-٩۰-۹]+)?\s*([-–—.\])])?", re.I)
+_BESIDE = rf"(?:[-–—.\[(] ?{_ANY} ?[-–—.\])]|(?:{_PAGE}\s*)?{_ANY}(?:\s*/\s*[\d٠-٩۰-۹]+)?)"
+_LEADS = re.compile(rf"({_BESIDE})(?:\t\s*|\s{{2,}}(?:[–—|]\s+)?|\s+[–—|]\s+)(.*\S)", re.I)
+_TRAILS = re.compile(rf"(\S.*?)(?:\s*\t\s*|(?:\s+[–—|])?\s{{2,}}|\s+[–—|]\s+)({_BESIDE})", re.I)
+_FORMULA = re.compile(r"[=√≈×÷]")
 _DIGITS = re.compile(r"[\d٠-٩۰-۹]+")
 _END = ".!?؟؛:;,،"
 _NUMERIC = re.compile(r"[\s\d٠-٩۰-۹.,|%+−-]+")
@@ -253,17 +257,15 @@ def outer_lines(text: str) -> list[tuple[int, str, str, bool, bool, bool]]:
                 continue
             out.append((i, "", digits, decorated or roman or raw[:2] == "  ", edge or alone, False))
             continue
-        parts = _SEPARATOR.split(s)
         found = None
-        if len(parts) > 1:
-            for part, rest in ((parts[-1], s[: len(s) - len(parts[-1])]), (parts[0], s[len(parts[0]) :])):
-                found = page_number(part)
-                if found and any(c.isalpha() for c in rest) and not (parts[1:-1] and all(_NUMERIC.fullmatch(x) for x in parts[1:-1])):
-                    s = re.sub(r"^(?:\s*[|–—]\s|\s+)|(?:\s[|–—]\s*|\s+)$", "", rest)
+        for m, at in ((_TRAILS.fullmatch(s), 2), (_LEADS.fullmatch(s), 1)):
+            if m and any(c.isalpha() for c in m[3 - at]) and not _NUMERIC.fullmatch(re.split(r"\s\|\s", m[3 - at])[-1]):
+                found = page_number(m[at])
+                if found:
+                    s = m[3 - at]
                     break
-                found = None
         cut = s.endswith("…")
-        if not any(c.isalpha() for c in s) or len(s) > 120 or s[-1] in _END:
+        if not any(c.isalpha() for c in s) or len(s) > 120 or s[-1] in _END or _FORMULA.search(s):
             continue
         marked = cut or bool(re.search(r" [–—|·] |, [^\W\d_]+$|\d$", s)) and not _NUMERIC.search(re.split(r"\s\|\s", s)[-1][:1] or "x")
         short = len(raw) < 0.75 * widest or len(full) == 1
