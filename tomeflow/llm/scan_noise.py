@@ -264,7 +264,7 @@ def outer_lines(text: str) -> list[tuple[int, str, str, bool, bool, bool]]:
                 if found:
                     s = m[3 - at]
                     break
-        cut = s.endswith("…")
+        cut = len(s) < 70 and s.endswith("…") and not s[:-1].endswith((" ", "."))
         if not any(c.isalpha() for c in s) or len(s) > 120 or s[-1] in _END or _FORMULA.search(s):
             continue
         marked = cut or bool(re.search(r" [–—|·] |, [^\W\d_]+$|\d$", s)) and not _NUMERIC.search(re.split(r"\s\|\s", s)[-1][:1] or "x")
