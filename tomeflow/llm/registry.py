@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import canonical, encode, language, scan_noise, split
+from . import canonical, encode, language, near_duplicates, scan_noise, split
 
-MODULES = (scan_noise, language, canonical, split, encode)
+MODULES = (scan_noise, language, canonical, split, near_duplicates, encode)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
