@@ -4,13 +4,15 @@ A text is its bag of words (runs of letters and digits, case aside); as texts co
 similar in whatever order their sentences come, a shingle is one word here.  Words are
 weighted by TF-IDF.  ``SAMPLES`` consistent samples of the weighted bag are drawn (two texts
 agree in one with the probability of their weighted Jaccard similarity) and banded by
-``ROWS``; texts that share a band are candidates.  Each candidate pair is verified exactly
-on its bags: the weighted Jaccard similarity of the counts and the share of common words in
-the longer text, which TESTDATA.md asks for.
+``ROWS``; texts that share a band are candidates.  Each candidate pair is verified on its
+whole bags (as sets of 32-bit hashes of word and occurrence): the weighted Jaccard similarity
+of the counts and the share of common words in the longer text, which TESTDATA.md asks for.
 
 Document frequencies are counted over all texts.  Those of words in fewer than ``RARE`` of
 the texts are not shipped to the workers: they get the weight of that share, so the table of
-weights never has more than (words a text) / RARE entries.
+weights never has more than (words a text) / RARE entries.  As rare words all weigh the same,
+their random variables come from a pool of ``POOL`` rows by the word's hash; the samples
+themselves name the word, so words of one pool row are not confused.
 
 Hot groups: texts with the same bag are one class, so copies cost one representative, not
 pairs; members come back by a join when pairs are asked for.  Band keys that many classes
@@ -34,14 +36,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Counts, bounded_rows, map_rows, shared_checkpoint, table
+from .common import CACHE, Counts, bounded_rows, map_rows, shared_checkpoint, table
 
 THRESHOLD = 0.85
-ROWS, BANDS = 5, 24
+ROWS, BANDS = 7, 20
 SAMPLES = ROWS * BANDS
 RARE = 1e-3
-#: Weight of a word: its IDF to this power; below 1 the weighted similarity stays near the share of common words.
-POWER = 1.0
+POOL = 4096
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -49,16 +50,6 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def occurrence_hashes(found: list[str]) -> list[int]:
-    """64-bit hashes of (word, how many-th time): the bag as a set, so that common words are an intersection."""
-    seen: dict[str, int] = {}
-    out = []
-    for w in found:
-        k = seen[w] = seen.get(w, 0) + 1
-        out.append(xxhash.xxh64_intdigest(w, k) - (1 << 63))
-    return out
-
-
 def document_frequencies(texts: DataFrame) -> DataFrame:
     """(word, n): texts that hold a word, added up in the tasks first; the word '' counts the texts."""
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
@@ -86,74 +77,76 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
 
 
 class Sampler:
-    """Consistent samples of weighted bags; what a (word, count) contributes is kept a worker."""
+    """Consistent samples of weighted bags."""
 
     def __init__(self, weights: dict[str, float], rare: float, samples: int = SAMPLES) -> None:
-        self.weights = weights
-        self.rare = rare
-        self.samples = samples
-        self.at: dict[tuple[str, int], int] = {}
-        self.log_a = np.empty((1024, samples), np.float32)
-        self.key = np.empty((1024, samples), np.uint64)
-
-    def row(self, word: str, n: int) -> int:
-        """Row of the tables for a word that occurs n times: -ln a (larger is better) and a key of (word, t)."""
-        got = self.at.get((word, n))
-        if got is not None:
-            return got
-        if len(self.at) >= 60_000:
-            self.at.clear()
-        k = len(self.at)
-        if k >= len(self.log_a):
-            self.log_a = np.concatenate([self.log_a, np.empty_like(self.log_a)])
-            self.key = np.concatenate([self.key, np.empty_like(self.key)])
-        seed = xxhash.xxh64_intdigest(word, 7)
+        self.weights, self.rare, self.samples = weights, rare, samples
+        self.rank = np.empty((POOL + 1024, samples), np.float32)  # -ln a: the largest is drawn
+        self.step = np.empty((POOL + 1024, samples), np.int16)  # t of each sample
+        for k in range(POOL):
+            self._fill(k, k, math.log(rare))
+        self.used = POOL
+        self.common: dict[tuple[str, int], int] = {}
+        self.hash: dict[str, int] = {}
+        self.salt = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xC4CEB9FE1A85EC53)
+        self.mix = np.array([[pow(0x9E3779B97F4A7C15, j + 1, 1 << 64)] for j in range(ROWS)], np.uint64)
+
+    def _fill(self, k: int, seed: int, log_weight: float) -> None:
         u = np.random.Generator(np.random.Philox(key=seed)).random((5, self.samples))
         r = -np.log(u[0] * u[1] + 1e-300)  # Gamma(2, 1)
-        ln_c = np.log(-np.log(u[2] * u[3] + 1e-300))
-        ln_s = math.log(self.weights.get(word, self.rare) * n)
-        t = np.floor(ln_s / r + u[4])
-        ln_y = r * (t - u[4])
-        self.log_a[k] = -(ln_c - ln_y - r)
-        self.key[k] = (t.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(seed)
-        self.at[(word, n)] = k
-        return k
-
-    def bands(self, bag: dict[str, int]) -> list[int]:
+        log_c = np.log(-np.log(u[2] * u[3] + 1e-300))
+        t = np.floor(log_weight / r + u[4])
+        self.rank[k] = -(log_c - r * (t - u[4]) - r)
+        self.step[k] = np.clip(t, -32768, 32767)
+
+    def word_hash(self, word: str) -> int:
+        got = self.hash.get(word)
+        if got is None:
+            if len(self.hash) > CACHE:
+                self.hash.clear()
+            got = self.hash[word] = xxhash.xxh64_intdigest(word, 7)
+        return got
+
+    def row(self, word: str, n: int, h: int) -> int:
+        """Row of the tables for a word that occurs n times; rare words that occur once share the pool."""
+        if n == 1 and word not in self.weights:
+            return h % POOL
+        got = self.common.get((word, n))
+        if got is None:
+            if self.used >= len(self.rank):
+                if self.used > 40_000:
+                    self.common.clear()
+                    self.used = POOL
+                else:
+                    self.rank = np.concatenate([self.rank, np.empty_like(self.rank)])
+                    self.step = np.concatenate([self.step, np.empty_like(self.step)])
+            got = self.common[(word, n)] = self.used
+            self.used += 1
+            self._fill(got, h, math.log(self.weights.get(word, self.rare) * n))
+        return got
+
+    def bag(self, found: list[str]) -> tuple[dict[str, int], list[int], list[int]]:
+        """Counts, the hashes of the distinct words, and a 32-bit hash of every (word, occurrence)."""
+        bag: dict[str, int] = {}
+        for w in found:
+            bag[w] = bag.get(w, 0) + 1
+        hashes = [self.word_hash(w) for w in bag]
+        occurrences = [(h >> 32) - (1 << 31) for h in hashes]
+        for (_, n), h in zip(bag.items(), hashes, strict=True):
+            for k in range(1, n):
+                occurrences.append(((h * (2 * k + 1) >> 32) & 0xFFFFFFFF) - (1 << 31))
+        return bag, hashes, occurrences
+
+    def bands(self, bag: dict[str, int], hashes: list[int]) -> list[int]:
         """One 64-bit key a band."""
-        if len(self.at) + len(bag) >= 60_000:
-            self.at.clear()
-        rows = np.fromiter((self.row(w, n) for w, n in bag.items()), np.int64, len(bag))
-        best = self.log_a[rows].argmax(0)
-        keys = self.key[rows[best], np.arange(self.samples)].reshape(BANDS, ROWS)
-        h = np.zeros(BANDS, np.uint64)
-        for j in range(ROWS):
-            h = (h ^ keys[:, j]) * np.uint64(0xFF51AFD7ED558CCD)
-            h ^= h >> np.uint64(29)
-        h ^= np.arange(BANDS, dtype=np.uint64) * np.uint64(0xC4CEB9FE1A85EC53)
-        return h.view(np.int64).tolist()
-
-
-_samplers: dict[str, Sampler] = {}
-
-
-def classes(texts: DataFrame) -> DataFrame:
-    """(bag, chunk_id): the class of equal bags that a text is in; one row for each text of different id and bag."""
-    schema = pa.schema([("bag", pa.int64()), ("chunk_id", pa.string())])
-
-    def make() -> Callable:
-        def one(c: dict[str, list]) -> dict[str, list]:
-            bags, ids = [], []
-            for i, t in zip(c["chunk_id"], c["text"], strict=True):
-                found = words(t)
-                if found:
-                    bags.append(bag_key(found))
-                    ids.append(i)
-            return {"bag": bags, "chunk_id": ids}
-
-        return one
-
-    return map_rows(texts.select("chunk_id", "text"), make, schema, "bag bigint, chunk_id string").distinct()
+        rows = np.array([self.row(w, n, h) for (w, n), h in zip(bag.items(), hashes, strict=True)])
+        best = self.rank[rows].argmax(0)
+        t = self.step[rows[best], np.arange(self.samples)].astype(np.uint64)
+        keys = (np.array(hashes, np.uint64)[best] + t * np.uint64(0xD6E8FEB86659FD93)).reshape(BANDS, ROWS)
+        keys ^= keys >> np.uint64(31)
+        h = (keys.T * self.mix).sum(0, dtype=np.uint64) + self.salt
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (h ^ (h >> np.uint64(32))).view(np.int64).tolist()
 
 
 def bag_key(found: list[str]) -> int:
@@ -161,12 +154,16 @@ def bag_key(found: list[str]) -> int:
 
 
 def signatures(texts: DataFrame, weights: dict[str, float], rare: float) -> DataFrame:
-    """(bag, chunk_id, size, words, bands) of each text: its class, number of words, occurrence hashes and band keys."""
+    """(bag, chunk_id, size, words, bands) of each text: its class, number of words, occurrence hashes and band keys.
+
+    The words and bands of a class that the same task has met before are left out (null).
+    """
     shared = texts.sparkSession.sparkContext.broadcast((weights, rare))
-    schema = pa.schema([("bag", pa.int64()), ("chunk_id", pa.string()), ("size", pa.int32()), ("words", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("bag", pa.int64()), ("chunk_id", pa.string()), ("size", pa.int32()), ("words", pa.list_(pa.int32())), ("bands", pa.list_(pa.int64()))])
 
     def make() -> Callable:
         sampler = Sampler(*shared.value)
+        met: set[int] = set()
 
         def one(c: dict[str, list]) -> dict[str, list]:
             out: dict[str, list] = {n: [] for n in schema.names}
@@ -174,19 +171,25 @@ def signatures(texts: DataFrame, weights: dict[str, float], rare: float) -> Data
                 found = words(t)
                 if not found:
                     continue
-                bag: dict[str, int] = {}
-                for w in found:
-                    bag[w] = bag.get(w, 0) + 1
-                out["bag"].append(bag_key(found))
+                key = bag_key(found)
+                out["bag"].append(key)
                 out["chunk_id"].append(i)
                 out["size"].append(len(found))
-                out["words"].append(occurrence_hashes(found))
-                out["bands"].append(sampler.bands(bag))
+                if key in met:
+                    out["words"].append(None)
+                    out["bands"].append(None)
+                    continue
+                if len(met) > CACHE:
+                    met.clear()
+                met.add(key)
+                bag, hashes, occurrences = sampler.bag(found)
+                out["words"].append(occurrences)
+                out["bands"].append(sampler.bands(bag, hashes))
             return out
 
         return one
 
-    return map_rows(texts.select("chunk_id", "text"), make, schema, "bag bigint, chunk_id string, size int, words array<bigint>, bands array<bigint>")
+    return map_rows(texts.select("chunk_id", "text"), make, schema, "bag bigint, chunk_id string, size int, words array<int>, bands array<bigint>")
 
 
 def similar_classes(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -194,12 +197,13 @@ def similar_classes(signed: DataFrame, threshold: float = THRESHOLD) -> DataFram
 
     Class members have the same bag and bands, so one of them stands for all.
     """
-    reps = signed.dropDuplicates(["bag"]).select("bag", "size", "words", "bands")
-    keys = reps.select("bag", "size", F.explode("bands").alias("band"))
+    reps = signed.filter("bands IS NOT NULL")
+    # One exchange by band serves the distinct and both sides of the join.
+    keys = reps.select(F.explode("bands").alias("band"), "bag", "size").repartition("band").dropDuplicates(["band", "bag"])
     a, b = keys.alias("a"), keys.alias("b")
     close = (F.col("a.bag") < F.col("b.bag")) & (F.least("a.size", "b.size") >= F.lit(threshold) * F.greatest("a.size", "b.size"))
     pairs = a.join(b, F.col("a.band") == F.col("b.band")).filter(close).select(F.col("a.bag").alias("a"), F.col("b.bag").alias("b")).distinct()
-    bags = reps.select("bag", "size", "words")
+    bags = reps.select("bag", "size", "words").repartition("bag").dropDuplicates(["bag"])
     left = bags.select(F.col("bag").alias("a"), F.col("size").alias("n_a"), F.col("words").alias("w_a"))
     right = bags.select(F.col("bag").alias("b"), F.col("size").alias("n_b"), F.col("words").alias("w_b"))
     common = F.size(F.array_intersect("w_a", "w_b"))
@@ -218,7 +222,7 @@ def sign(texts: DataFrame) -> DataFrame:
     n = total["n"] if total else 1
     floor = max(2, math.ceil(n * RARE))
     common = bounded_rows(frequencies.filter((F.col("n") >= floor) & (F.col("word") != "")), 2_000_000)
-    weigh = lambda df: max(math.log(n / df), 0.05) ** POWER if n > df else 0.05
+    weigh = lambda df: max(math.log(n / df), 0.05) if n > df else 0.05
     return shared_checkpoint(signatures(texts, {r["word"]: weigh(r["n"]) for r in common}, weigh(floor)))
 
 
