@@ -211,7 +211,7 @@ def is_refusal(answer: str) -> bool:
         s = sentence.strip()
         while s:
             m = _OPEN.match(s)
-            if not m or m.end() == 0 or _REFUSE.fullmatch(s.rstrip(" .!")):
+            if not m or m.end() == 0:
                 break
             s = s[m.end() :].strip()
         s = s.rstrip(" .!؛")
