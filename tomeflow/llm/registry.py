@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import canonical, encode, language, near_duplicates, pairs, scan_noise, split
+from . import canonical, encode, language, mixing, near_duplicates, offence, pairs, scan_noise, split
 
-MODULES = (scan_noise, language, canonical, pairs, split, near_duplicates, encode)
+MODULES = (scan_noise, language, canonical, pairs, split, near_duplicates, encode, mixing, offence)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
