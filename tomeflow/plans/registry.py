@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import queries as _queries
+
 FLAGSHIP = "bm25_topk"
 
-MODULES: tuple = ()
+MODULES: tuple = (_queries,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
