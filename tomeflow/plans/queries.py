@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..operators import catalog as C
 from ..operators import evaluate as E
 from ..operators import search as S
+from ..operators.chunking import chunk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -320,3 +321,15 @@ def answer_gates(spark: SparkSession, d: str) -> DataFrame:
     """Turns by status, and how many pass the gate before generation."""
     passed = F.coalesce((F.col("retrieval.top_score") >= 0.15) & (F.col("retrieval.retrieval_confidence") >= 0.15), F.lit(False))
     return t(spark, d, "turns").groupBy("answer_status", "grounded").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("retrieval.top_score"), 6).alias("avg_top"), F.sum(passed.cast("bigint")).alias("passed_gate"))
+
+
+@query()
+def chunk_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Parent and child chunks of all loaded pages."""
+    return chunk(t(spark, d, "loaded_pages").select(F.col("row_id").cast("string").alias("doc_id"), "text"))
+
+
+@query()
+def normalized_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The normalized text of every page."""
+    return t(spark, d, "loaded_pages").select("row_id", T.normalize_text("text").alias("text"))
