@@ -40,7 +40,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, same: tuple[str, ...] = (
         n = -(-ids.count() // QUERY_BLOCK)
         numbered = ids.withColumn("block", F.abs(F.xxhash64("query_id")) % (2 * n))
         blocks = [numbered.filter(F.col("block") == i).drop("block") for i in range(2 * n)]
-    parts = [_knn_block(b.collect(), corpus, k, same) for b in blocks]
+    held = [rows for b in blocks if (rows := b.collect())]
+    parts = [_knn_block(rows, corpus, k, same) for rows in held or [[]]]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -50,7 +51,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, same: tuple[str, ...] = (
 def _knn_block(rows: list, corpus: DataFrame, k: int, same: tuple[str, ...]) -> DataFrame:
     spark = corpus.sparkSession
     ids = np.array([r["query_id"] for r in rows], np.int64)
-    m = np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), -1)
+    m = np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), -1 if rows else 0)
     norm = np.linalg.norm(m, axis=1)
     shared = spark.sparkContext.broadcast((ids, m, norm, [[r[c] for c in same] for r in rows]))
     schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])

@@ -48,6 +48,9 @@ class _Html(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in _DROPPED:
             self.dropped = max(0, self.dropped - 1)
+        elif tag in ("ul", "ol", "div", "body"):  # ends what was left open in it
+            while self.open and self.blocks[self.open[-1]][0] in ("li", "p"):
+                self.open.pop()
         elif tag in _BLOCKS and any(self.blocks[i][0] == tag for i in self.open):
             while self.blocks[self.open.pop()][0] != tag:
                 pass
