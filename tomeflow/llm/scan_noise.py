@@ -47,7 +47,7 @@ TOKEN = re.compile(rf"[{_BASE}0-9{_ARABIC}‌](?:[{_BASE}0-9{_ARABIC}‌@!|¤§$
 _ARABIC_ODD = re.compile(rf"[ء-ي][{re.escape(ARABIC_MARKS)}]|[{re.escape(ARABIC_MARKS)}][ء-ي]|[ٮڡ]")
 _LATIN_ODD = re.compile(rf"[{_BASE}][@!0-9$][{_BASE}]|[a-zà-öø-ÿ][@0-9]|[@!][a-zà-öø-ÿ]")
 _GLUED = re.compile(r"[a-zà-öø-ÿ][A-ZÀ-ÖØ-Þ]")
-_BROKEN = re.compile(rf"([{_BASE}@!0-9{_ARABIC}|¤§\u200c]+)[ \t]?([{re.escape(HYPHEN_MARKS)}])[ \t]*(?:\r\n|\n|\r)[ \t]*([{_BASE}@!0-9{_ARABIC}|¤§]+)")
+_BROKEN = re.compile(rf"([{_BASE}@!0-9{_ARABIC}|¤§\u200c]+)([{re.escape(HYPHEN_MARKS)}])[ \t]*(?:\r\n|\n|\r)[ \t]*([{_BASE}@!0-9{_ARABIC}|¤§]+)")
 _COMPOUND = re.compile(rf"[{_BASE}]+(?:-[{_BASE}]+)+")
 
 
@@ -194,7 +194,7 @@ def natural(a: str, b: str, forms: Forms) -> bool:
     if forms.known(a + b):
         return False
     low = f"{a}-{b}".lower()
-    return low in forms.compounds or any(low.endswith("-" + x) or low == x for x in ()) or forms.known(a) and forms.known(b) and len(b) < 4 and (len(a) > 2 or low in forms.compounds)
+    return low in forms.compounds or forms.known(a) and forms.known(b) and len(b) < 4 and (len(a) > 2 or low in forms.compounds)
 
 
 # Lines outside of the running text ---------------------------------------------------
@@ -426,7 +426,7 @@ def repaired(texts: DataFrame, forms: Forms, books: DataFrame) -> DataFrame:
         .withColumn("piece", F.when(F.col("goes_on"), part.substr(F.lit(1), F.length("part") - 1)).when((part == "") | (F.coalesce(F.col("after"), F.lit("")) == ""), F.concat(part, F.lit("\n"))).otherwise(F.concat(part, F.lit(" "))))
     )
     whole = glued.groupBy("src", "row_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "piece"))), lambda x: x["piece"]), "").alias("text"))
-    return whole.withColumn("text", F.trim(F.regexp_replace("text", r"\n\s*\n+", "\n\n")))
+    return whole.withColumn("text", F.regexp_replace(F.regexp_replace("text", r"\n\s*\n+", "\n\n"), r"^\s+|\s+$", ""))
 
 
 def p1_text(spark: SparkSession, sf_dir: str) -> DataFrame:
