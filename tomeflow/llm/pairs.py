@@ -59,26 +59,34 @@ class CharBayes:
         total = table_.sum(0)
         self.log = np.log(table_ / total)
         self.unseen = np.log(0.5 / total)
-        self.word: dict[str, np.ndarray] = {}
+        self.word: dict[str, int] = {}
+        self.rows = np.zeros((1024, len(LANGS)))
 
     @staticmethod
     def grams(word: str) -> list[str]:
         w = f" {word} "
         return [w[i : i + n] for n in range(1, ORDER + 1) for i in range(len(w) - n + 1)]
 
-    def scores(self, text: str) -> np.ndarray:
-        total = np.zeros(len(LANGS))
-        for w in LETTERS.findall(bare(text)):
-            got = self.word.get(w)
-            if got is None:
-                if len(self.word) > CACHE:
-                    self.word.clear()
-                got = self.word[w] = sum((self.log[self.at[g]] if g in self.at else self.unseen for g in self.grams(w)), np.zeros(len(LANGS)))
-            total += got
-        return total
-
-    def posterior(self, text: str) -> np.ndarray:
-        s = self.scores(text)
+    def row(self, word: str) -> int:
+        """Row of a word's summed log-likelihoods, kept a worker."""
+        got = self.word.get(word)
+        if got is None:
+            if len(self.word) >= CACHE:
+                self.word.clear()
+            got = len(self.word)
+            if got >= len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[got] = sum((self.log[self.at[g]] if g in self.at else self.unseen for g in self.grams(word)), np.zeros(len(LANGS)))
+            self.word[word] = got
+        return got
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        if len(self.word) + len(words) >= CACHE:
+            self.word.clear()
+        return self.rows[[self.row(w) for w in words]].sum(0)
+
+    def posterior(self, words: list[str]) -> np.ndarray:
+        s = self.scores(words)
         p = np.exp((s - s.max()) / 2)  # n-grams overlap, so they are worth less than independent ones
         return p / p.sum()
 
@@ -191,7 +199,7 @@ def plain_words(text: str) -> list[str]:
 def is_copy(query: str | None, answer: str) -> bool:
     """Nothing but the question, apart from case, spacing, punctuation, a label or repetition."""
     q = plain_words(query or "")
-    if not q:
+    if not q or not set(q).issubset(plain_words(answer)):
         return False
     for text in (answer, re.sub(rf"^\W*(?:{QUESTION_LABEL}|{ANSWER_LABEL}|[^\s:]+(?: [^\s:]+){{0,3}})\s*[:：]", "", answer, flags=re.I)):
         a = plain_words(text)
@@ -242,7 +250,7 @@ def other_language(query: str | None, answer: str, model: CharBayes) -> bool:
     q_words, a_words = LETTERS.findall(bare(query)), LETTERS.findall(bare(answer))
     if not wordy(query, q_words) or not wordy(answer, a_words):
         return False
-    p, a = model.posterior(query), model.posterior(answer)
+    p, a = model.posterior(q_words), model.posterior(a_words)
     if float(p @ a) >= AGREE or a.max() < 0.8:
         return False
     return LANGS[int(a.argmax())] not in asked_languages(query)
@@ -271,22 +279,25 @@ class Endings:
         return -9.0
 
 
+_CLOSES = set(".!?؟؛:,،")
+_STEP = re.compile(rf"({WORD.pattern})([^\w]*)")
+
+
 def contexts(text: str) -> list[tuple[str, bool]]:
     """(context, does a text or clause end after it) of every word; the very end counts only if a stop marks it."""
     out = []
-    for line in text.split("\n"):
-        low = bare(line)
-        spans = list(WORD.finditer(low))
-        for i, m in enumerate(spans):
-            tail = low[m.end() : spans[i + 1].start()] if i + 1 < len(spans) else low[m.end() :]
-            end = bool(re.search(r"[.!?؟؛:,،]", tail))
-            if not end and i + 1 == len(spans):
-                continue
-            w = m[0]
-            out.append((f"1 {w}", end))
-            out.append((f"c {(' ' + w)[-3:]}", end))
-            if i:
-                out.append((f"2 {spans[i - 1][0]} {w}", end))
+    for line in bare(text).split("\n"):
+        spans = _STEP.findall(line)
+        last = len(spans) - 1
+        before = ""
+        for i, (w, tail) in enumerate(spans):
+            end = tail not in ("", " ") and not _CLOSES.isdisjoint(tail)
+            if end or i < last:
+                out.append((f"1 {w}", end))
+                out.append((f"c {(' ' + w)[-3:]}", end))
+                if before:
+                    out.append((f"2 {before} {w}", end))
+            before = w
     return out
 
 
