@@ -41,6 +41,7 @@ HYPHEN_MARKS = "-¬–=‐­~"
 _CLASS = {ord(x): k for k, xs in GLYPHS.items() for x in xs}
 # Words are compared in one spelling of Arabic and Persian letters.
 _ONE = {ord(c): None for c in TASHKEEL} | {ord("ی"): "ي", ord("ک"): "ك"}
+_IN_ARABIC = re.compile("[؀-ۿ]")
 _BASE = r"A-Za-zÀ-ÖØ-öø-ÿŒœŠšŸ"
 _ARABIC = "ء-يٮ-ۓ"
 TOKEN = re.compile(rf"[{_BASE}0-9{_ARABIC}‌](?:[{_BASE}0-9{_ARABIC}‌@!|¤§$]*[{_BASE}0-9{_ARABIC}@])?")
@@ -55,7 +56,7 @@ def prepare(text: str) -> str:
     """The text as its words are compared: plain characters, without tashkeel, Persian letters as Arabic ones."""
     if not PLAIN.fullmatch(text):
         text = fold(text)
-    return text.translate(_ONE) if not text.isascii() else text
+    return text.translate(_ONE) if not text.isascii() and _IN_ARABIC.search(text) else text
 
 
 def skeleton(word: str, merge: bool = True) -> str:
@@ -233,6 +234,8 @@ def outer_lines(text: str) -> list[tuple[int, str, str, bool, bool, bool]]:
     """Lines that could stand outside of the running text:
     (line number, masked title, number, number is decorated, line stands out, ends in …).
     """
+    if len(text) > 150 and "\n" not in text:
+        return []
     lines = text.split("\n")
     full = [i for i, x in enumerate(lines) if x.strip()]
     if not full:
