@@ -83,7 +83,8 @@ class CharBayes:
     def scores(self, words: list[str]) -> np.ndarray:
         if len(self.word) + len(words) >= CACHE:
             self.word.clear()
-        return self.rows[[self.row(w) for w in words]].sum(0)
+        at = [self.row(w) for w in words]  # may enlarge the table
+        return self.rows[at].sum(0)
 
     def posterior(self, words: list[str]) -> np.ndarray:
         s = self.scores(words)
