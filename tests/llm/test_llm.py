@@ -188,6 +188,23 @@ def test_near_duplicates_against_brute_force(spark):
     assert by["same1"] == by["same2"] and all(by[a] == by[b] for a, b in got)
 
 
+def test_near_duplicates_whose_rare_words_differ(spark):
+    """15 % of the words changed, the changed ones rare: the lowest weighted Jaccard that a pair at 0.85 can have."""
+    rng = random.Random(8)
+    pairs_, rows = set(), []
+    for i in range(120):
+        common = rng.sample([f"c{k}" for k in range(200)], 34)
+        for side in "ab":
+            w = common + [f"{side}{i}x{k}" for k in range(6)]
+            rng.shuffle(w)
+            rows.append((f"p{i}{side}", " ".join(w)))
+        pairs_.add((f"p{i}a", f"p{i}b"))
+    got = {(r["chunk_id_a"], r["chunk_id_b"]) for r in near_duplicates.similar_pairs(frame(spark, rows, "chunk_id string, text string")).collect()}
+    assert not got - pairs_ and len(got) >= 0.97 * len(pairs_)
+    lowest = 0.85 / (0.85 + 0.3 * near_duplicates.HEAVIEST)
+    assert 1 - (1 - lowest**near_duplicates.ROWS) ** near_duplicates.BANDS >= 0.99
+
+
 # 8 ------------------------------------------------------------------------------------
 
 

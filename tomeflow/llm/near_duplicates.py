@@ -2,9 +2,13 @@
 
 A text is its bag of words (runs of letters and digits, case aside); as texts count as
 similar in whatever order their sentences come, a shingle is one word here.  Words are
-weighted by TF-IDF.  ``SAMPLES`` consistent samples of the weighted bag are drawn (two texts
+weighted by TF-IDF, the IDF scaled to 1 ... ``HEAVIEST``: were rare words heavier, two texts that
+share 85 % of their words, but not the rare ones, would have next to no weight in common.
+So a pair at ``THRESHOLD`` has a weighted Jaccard similarity of at least
+0.85 / (0.85 + 0.3 * HEAVIEST) = 0.730, at which the bands find it with 0.990.  ``SAMPLES`` consistent samples of the weighted bag are drawn (two texts
 agree in one with the probability of their weighted Jaccard similarity) and banded by
-``ROWS``; texts that share a band are candidates.  Each candidate pair is verified on its
+``ROWS``; texts that share a band are candidates, but for those whose parity sketches differ in
+more bits than the bags of a similar pair can differ in words (this loses none).  Each candidate pair is verified on its
 whole bags (as sets of 32-bit hashes of word and occurrence): the weighted Jaccard similarity
 of the counts and the share of common words in the longer text, which TESTDATA.md asks for.
 
@@ -39,9 +43,11 @@ from pyspark.sql import functions as F
 from .common import CACHE, Counts, bounded_rows, map_rows, shared_checkpoint, table
 
 THRESHOLD = 0.85
-ROWS, BANDS = 7, 20
+ROWS, BANDS = 5, 20
 SAMPLES = ROWS * BANDS
 RARE = 1e-3
+HEAVIEST = 1.05
+SKETCH = 128
 POOL = 4096
 WORD = re.compile(r"[^\W_]+")
 
@@ -139,27 +145,37 @@ class Sampler:
 
     def bands(self, bag: dict[str, int], hashes: list[int]) -> list[int]:
         """One 64-bit key a band."""
-        rows = np.array([self.row(w, n, h) for (w, n), h in zip(bag.items(), hashes, strict=True)])
+        # In the order of hashes: words of one pool row tie, and the same one must win in any order of sentences.
+        named = np.array(hashes, np.uint64)
+        order = named.argsort()
+        named = named[order]
+        rows = np.array([self.row(w, n, h) for (w, n), h in zip(bag.items(), hashes, strict=True)])[order]
         best = self.rank[rows].argmax(0)
         t = self.step[rows[best], np.arange(self.samples)].astype(np.uint64)
-        keys = (np.array(hashes, np.uint64)[best] + t * np.uint64(0xD6E8FEB86659FD93)).reshape(BANDS, ROWS)
+        keys = (named[best] + t * np.uint64(0xD6E8FEB86659FD93)).reshape(BANDS, ROWS)
         keys ^= keys >> np.uint64(31)
         h = (keys.T * self.mix).sum(0, dtype=np.uint64) + self.salt
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         return (h ^ (h >> np.uint64(32))).view(np.int64).tolist()
 
 
+def sketch(occurrences: list[int]) -> tuple[int, int]:
+    """Parities of the number of words in ``SKETCH`` buckets: a word more or less changes one bit, so bags differ in at least as many words as sketches in bits."""
+    parity = np.bincount(np.array(occurrences) & (SKETCH - 1), minlength=SKETCH) & 1
+    return tuple(np.packbits(parity.astype(np.uint8)).view(np.int64).tolist())
+
+
 def bag_key(found: list[str]) -> int:
     return struct.unpack("<q", hashlib.blake2b("\x00".join(sorted(found)).encode(), digest_size=8).digest())[0]
 
 
 def signatures(texts: DataFrame, weights: dict[str, float], rare: float) -> DataFrame:
-    """(bag, chunk_id, size, words, bands) of each text: its class, number of words, occurrence hashes and band keys.
+    """(bag, chunk_id, size, words, bands, s0, s1) of each text: its class, number of words, occurrence hashes, band keys and sketch.
 
-    The words and bands of a class that the same task has met before are left out (null).
+    The words, bands and sketch of a class that the same task has met before are left out (null).
     """
     shared = texts.sparkSession.sparkContext.broadcast((weights, rare))
-    schema = pa.schema([("bag", pa.int64()), ("chunk_id", pa.string()), ("size", pa.int32()), ("words", pa.list_(pa.int32())), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("bag", pa.int64()), ("chunk_id", pa.string()), ("size", pa.int32()), ("words", pa.list_(pa.int32())), ("bands", pa.list_(pa.int64())), ("s0", pa.int64()), ("s1", pa.int64())])
 
     def make() -> Callable:
         sampler = Sampler(*shared.value)
@@ -178,6 +194,8 @@ def signatures(texts: DataFrame, weights: dict[str, float], rare: float) -> Data
                 if key in met:
                     out["words"].append(None)
                     out["bands"].append(None)
+                    out["s0"].append(None)
+                    out["s1"].append(None)
                     continue
                 if len(met) > CACHE:
                     met.clear()
@@ -185,11 +203,14 @@ def signatures(texts: DataFrame, weights: dict[str, float], rare: float) -> Data
                 bag, hashes, occurrences = sampler.bag(found)
                 out["words"].append(occurrences)
                 out["bands"].append(sampler.bands(bag, hashes))
+                s0, s1 = sketch(occurrences)
+                out["s0"].append(s0)
+                out["s1"].append(s1)
             return out
 
         return one
 
-    return map_rows(texts.select("chunk_id", "text"), make, schema, "bag bigint, chunk_id string, size int, words array<int>, bands array<bigint>")
+    return map_rows(texts.select("chunk_id", "text"), make, schema, "bag bigint, chunk_id string, size int, words array<int>, bands array<bigint>, s0 bigint, s1 bigint")
 
 
 def similar_classes(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -199,9 +220,11 @@ def similar_classes(signed: DataFrame, threshold: float = THRESHOLD) -> DataFram
     """
     reps = signed.filter("bands IS NOT NULL")
     # One exchange by band serves the distinct and both sides of the join.
-    keys = reps.select(F.explode("bands").alias("band"), "bag", "size").repartition("band").dropDuplicates(["band", "bag"])
+    keys = reps.select(F.explode("bands").alias("band"), "bag", "size", "s0", "s1").repartition("band").dropDuplicates(["band", "bag"])
     a, b = keys.alias("a"), keys.alias("b")
     close = (F.col("a.bag") < F.col("b.bag")) & (F.least("a.size", "b.size") >= F.lit(threshold) * F.greatest("a.size", "b.size"))
+    bits = F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))) + F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1")))
+    close &= bits <= F.col("a.size") + F.col("b.size") - F.lit(2 * threshold) * F.greatest("a.size", "b.size") + F.lit(1e-6)
     pairs = a.join(b, F.col("a.band") == F.col("b.band")).filter(close).select(F.col("a.bag").alias("a"), F.col("b.bag").alias("b")).distinct()
     bags = reps.select("bag", "size", "words").repartition("bag").dropDuplicates(["bag"])
     left = bags.select(F.col("bag").alias("a"), F.col("size").alias("n_a"), F.col("words").alias("w_a"))
@@ -222,7 +245,7 @@ def sign(texts: DataFrame) -> DataFrame:
     n = total["n"] if total else 1
     floor = max(2, math.ceil(n * RARE))
     common = bounded_rows(frequencies.filter((F.col("n") >= floor) & (F.col("word") != "")), 2_000_000)
-    weigh = lambda df: max(math.log(n / df), 0.05) if n > df else 0.05
+    weigh = lambda df: 1 + (HEAVIEST - 1) * math.log(n / df) / math.log(n / floor) if n > floor else 1.0
     return shared_checkpoint(signatures(texts, {r["word"]: weigh(r["n"]) for r in common}, weigh(floor)))
 
 
