@@ -119,6 +119,18 @@ def test_scan_noise_words():
     assert scan_noise.broken("the ten-\nsion", forms) and scan_noise.broken("obse¬\nrve", forms) and not scan_noise.broken("the end -\nthe map", forms) and not scan_noise.broken("vê-\nse", forms)
 
 
+def test_frequent_misreadings_are_no_words(spark):
+    words = {"before": 9856, "bef0re": 42, "bcfore": 37, "compare": 4000, "cornpare": 16, "values": 4600, "v@lues": 17, "class": 4221, "dass": 1469, "que": 9191, "Qué": 126, "qué": 1386, "الهواء": 3025, "ا|هواء": 20, "CO2": 50}
+    forms = scan_noise.Forms(words, {"compare values", "values before"}, set())
+    assert set(words) - set(forms.words) == {"bef0re", "bcfore", "cornpare", "v@lues", "ا|هواء"}
+    assert scan_noise.misread("values bcfore", forms, every=True) == {"bcfore": "before"} and scan_noise.misread("compare v@lues", forms, every=True) == {"v@lues": "values"}
+    assert "bef0re" not in forms.meant("b3fore") and not scan_noise.misread("compare values before", forms)
+    hot = [(f"the page of {w} was scanned twice",) for w in ["harbour"] * 3] + [("harhour again",)] * 500
+    stats = {r["key"]: r["n"] for r in scan_noise.word_stats(frame(spark, hot, "text string").distinct()).filter("kind = 'w'").collect()}
+    assert stats["harhour"] == 1
+    assert "harhour" not in scan_noise.learn(frame(spark, hot, "text string")).words
+
+
 def test_outer_lines():
     got = {x[1]: x for x in scan_noise.outer_lines("— 8 —    Physics — Telva\n\nThe wire is long and thin and\nleads to the other side.\n[9]")}
     assert got["physics — telva"][2] == "8" and got[""][2] == "9"

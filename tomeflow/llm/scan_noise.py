@@ -2,8 +2,10 @@
 
 Words are grouped by a confusable-glyph skeleton (0 as o, 1 as l, rn as m, a bar as lam ...).
 A word that is rare while its skeleton has a frequent form was misread, if the words beside
-it support that form.  Forms and pairs of words are counted over all texts of both tables;
-frequent are those with at least ``SHARE`` of all, so that there are never more than
+it support that form.  Rare is also a frequent form ``RATIO`` times rarer than the most
+frequent one of its skeleton, or with a sign inside that this one has not, whatever its share.
+Forms and pairs of words are counted over all distinct texts of both tables, so that copies of
+one bad page do not make its words known; frequent are those with at least ``SHARE`` of all, so that there are never more than
 1 / SHARE of them and the broadcast has a proven bound.  Lines outside of the running text
 are compared with digits masked: a line is a running title if its masked form recurs on
 several pages of its book or is built from the book's title or subject; page numbers are
@@ -30,6 +32,8 @@ from .lookalikes import PLAIN, TASHKEEL, fold
 #: Share of all words (of all pairs of words) that a frequent form (pair) has.
 SHARE, PAIR_SHARE = 4e-6, 2e-6
 LEAST, LEAST_PAIR = 6, 3
+#: A form so many times rarer than its twin is no word of its own.
+RATIO = 40
 
 # Glyphs that scans confuse; the first of each is what the skeleton holds.
 GLYPHS = {"o": "0", "i": "!", "l": "1", "s": "5$", "g": "9", "b": "6", "a": "@", "t": "f+", "c": "eéèêë¢€", "ل": "|", "ي": "þى", "م": "¤", "ن": "ñ", "ر": "ß", "ت": "Ë", "ب": "ٮ", "ق": "Ø", "ع": "Ð", "ج": "ïخحچ", "ف": "ڡ", "ه": "§", "ص": "ض", "ط": "ظ"}
@@ -100,11 +104,37 @@ def word_stats(texts: DataFrame) -> DataFrame:
     return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
+def spoilt(w: str) -> bool:
+    """Does the word hold a sign or digit where words have letters?"""
+    return bool(_LATIN_ODD.search(w)) and any(c.isalpha() for c in w) and not re.fullmatch(r"[A-Z0-9]+|[0-9]+[a-z]{1,3}|[a-z][0-9]+", w)
+
+
+def misread_forms(words: dict[str, int]) -> set[str]:
+    """Frequent forms that are misreadings of a more frequent form of their skeleton; that one is among ``words`` as well."""
+    total: dict[str, int] = {}
+    for w, n in words.items():
+        total[w.lower()] = total.get(w.lower(), 0) + n
+    best: dict[str, tuple[int, str]] = {}
+    odd = {w for w in total if spoilt(w) or _ARABIC_ODD.search(w)}
+    for w, n in total.items():
+        if len(w) > 2 and w not in odd:
+            for sk in {skeleton(w), skeleton(w, False)}:
+                best[sk] = max(best.get(sk, (0, "")), (n, w))
+    found = set()
+    for w, n in total.items():
+        if len(w) > 2 and not w.isdigit():
+            twin = max((best.get(sk, (0, "")) for sk in {skeleton(w), skeleton(w, False)}))
+            if twin[1] not in ("", w) and (w in odd or twin[0] >= RATIO * n):
+                found.add(w)
+    return {w for w in words if w.lower() in found}
+
+
 class Forms:
-    """Frequent forms, pairs and compounds; verdicts on words are kept a worker."""
+    """Frequent forms, pairs and compounds, misreadings left out; verdicts on words are kept a worker."""
 
     def __init__(self, words: dict[str, int], pairs: set[str], compounds: set[str]) -> None:
-        self.words = words
+        wrong = misread_forms(words)
+        self.words = words = {w: n for w, n in words.items() if w not in wrong}
         self.low = {w.lower() for w in words}
         self.pairs = pairs
         self.compounds = compounds
@@ -148,7 +178,7 @@ def misread(text: str, forms: Forms, every: bool = False) -> dict[str, str] | bo
             continue
         before, after = found[i - 1] if i else "", found[i + 1] if i + 1 < len(found) else ""
         meant = forms.meant(w)
-        digit = bool(_LATIN_ODD.search(w)) and any(c.isalpha() for c in w) and not re.fullmatch(r"[A-Z0-9]+|[0-9]+[a-z]{1,3}|[a-z][0-9]+", w)
+        digit = spoilt(w)
         if meant:
             fits = next((f for f in meant if forms.pair(before, f) or forms.pair(f, after)), "")
             if fits or digit or len(w) > 7 and len(meant[0]) > 7:
@@ -292,7 +322,7 @@ def learn(texts: DataFrame) -> Forms:
     """The frequent forms of all texts: bounded by their share, so they fit any worker."""
     from .common import shared_checkpoint
 
-    stats = shared_checkpoint(word_stats(texts).filter("n > 1"))
+    stats = shared_checkpoint(word_stats(texts.select("text").distinct()).filter("n > 1"))
     words, _ = frequent(stats.filter("kind = 'w'"), "key", "n", SHARE, LEAST)
     pairs, _ = frequent(stats.filter("kind = 'p'"), "key", "n", PAIR_SHARE, LEAST_PAIR)
     compounds, _ = frequent(stats.filter("kind = 'h'"), "key", "n", 1e-4, 2)
