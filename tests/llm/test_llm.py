@@ -107,6 +107,12 @@ def test_canonical_forms(spark):
     assert fold("Соmрrеndrе ﬁn") == "Comprendre fin"
 
 
+def test_arabic_with_all_its_letters_persian(spark):
+    rows = [(1, "heading", "4.2 کیف نفهم المصدر المکتوب"), (2, "heading", "4.2 كيف نفهم المصدر المكتوب"), (3, "chapter", "پدر از خانه به شهر مي رود"), (4, "chapter", "پدر از خانه به شهر می رود")]
+    got = {r["row_id"] for r in canonical.inconsistent(frame(spark, rows, "row_id bigint, field string, value string")).collect()}
+    assert got == {1, 3}
+
+
 # 1 ------------------------------------------------------------------------------------
 
 

@@ -32,7 +32,7 @@ from .lookalikes import CYRILLIC, GREEK, HYPHENS, IGNORABLE, KEEP, OTHER_LATIN,
 
 FIELDS = ("raw_text", "heading", "chapter")
 
-_PERSIAN, _ARABIC = re.compile(r"[یک]"), re.compile(r"[يكةأإى]")
+_EITHER = re.compile(f"[{''.join(TO_ARABIC | TO_PERSIAN)}]")
 TOKEN = re.compile(r"[^\W_]+(?:[^\W_]|[" + re.escape(IGNORABLE + TASHKEEL) + r"̀-ٓͯ-ٕ])*")
 _WORDLY = re.compile(r"[^\s\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e،؛؟«»“”„–—…|¡¿]+")
 
@@ -41,8 +41,8 @@ CLASS = {ord(a): b for a, b in (TO_LATIN | TO_ARABIC).items()} | {ord("ى"): "ي
 
 
 def odd(value: str) -> bool:
-    """Could this value hold an odd character?  Of plain characters only Persian letters beside Arabic ones could be."""
-    return not PLAIN.fullmatch(value) or bool(_PERSIAN.search(value) and _ARABIC.search(value))
+    """Could this value hold an odd character?  Of plain characters only the letters that Persian and Arabic spell differently could be."""
+    return not PLAIN.fullmatch(value) or bool(_EITHER.search(value))
 
 
 def skeleton(token: str) -> str:
