@@ -178,6 +178,9 @@ def test_pair_defects(judge, answer, defects):
 def test_pairs_in_another_language_that_was_asked_for(judge):
     assert judge("Translate into German: The water of the river flows.", "Das Wasser des Flusses fließt in das Meer.") == []
     assert judge(None, "The water of the river flows.") == []
+    filler = "The water of the river flows to the sea. " * 12
+    assert judge(f"{filler}Please translate the whole text into German. {filler}", "Das Wasser des Flusses fließt in das Meer.") == []
+    assert judge(f"{filler}The German engineer had a bridge. {filler}", "Das Wasser des Flusses fließt in das Meer.") == ["other_language"]
 
 
 # 6 ------------------------------------------------------------------------------------

@@ -236,11 +236,16 @@ def is_refusal(answer: str) -> bool:
 
 
 def asked_languages(query: str) -> set[str]:
-    """Languages that the prompt asks the response to be in."""
-    head = query if len(query) < 400 else query[:200] + " " + query[-200:]
-    if not ASKS.search(head):
-        return set()
-    found = [w.lower() for w in LETTERS.findall(head)]
+    """Languages that the prompt asks the response to be in.
+
+    A long prompt is read whole: what asks and the language's name stand in one sentence or two
+    in a row, or both at its ends.
+    """
+    parts = [query]
+    if len(query) >= 400:
+        s = _SENTENCE.split(query)
+        parts = [query[:200] + " " + query[-200:], *(f"{a} {b}" for a, b in zip(s, [*s[1:], ""]))]
+    found = {w.lower() for part in parts if ASKS.search(part) for w in LETTERS.findall(part)}
     return {lang for lang, names in NAMED.items() if any(w.startswith(n) for w in found for n in names)}
 
 
