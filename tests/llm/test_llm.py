@@ -175,6 +175,12 @@ def test_pair_defects(judge, answer, defects):
     assert judge("What is in the water?", answer) == defects
 
 
+def test_unmarked_lists_need_no_stop(judge):
+    assert judge("What is in the water?", "These were found in it:\nthe river stone\nthe old boat\nthe glass lens") == []
+    assert judge("What is in the water?", "These were found in it:\nthe river stone\nthe old boat\nthe glass") == ["truncated"]
+    assert judge("What is in the water?", "It was found in the water that there is a stone, a boat and the glass lens") == ["truncated"]
+
+
 def test_pairs_in_another_language_that_was_asked_for(judge):
     assert judge("Translate into German: The water of the river flows.", "Das Wasser des Flusses fließt in das Meer.") == []
     assert judge(None, "The water of the river flows.") == []

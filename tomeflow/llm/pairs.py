@@ -307,6 +307,14 @@ def contexts(text: str) -> list[tuple[str, bool]]:
     return out
 
 
+def unmarked_list(text: str) -> bool:
+    """Three lines or more of up to seven words without a stop, but for one that introduces them."""
+    lines = [x for x in map(str.strip, text.split("\n")) if x]
+    if lines and lines[0].endswith((":", "：")):
+        lines = lines[1:]
+    return len(lines) > 2 and all(len(plain_words(x)) < 8 and x[-1] not in _CLOSES for x in lines)
+
+
 def is_truncated(answer: str, endings: Endings) -> bool:
     """It breaks off inside a sentence, word, bracket or list."""
     text = answer.rstrip()
@@ -337,10 +345,10 @@ def is_truncated(answer: str, endings: Endings) -> bool:
     odds = endings.odds(text)
     item = _ITEM.match(last)
     body = re.sub(r"^\s*(?:[-*•–]|\(?\d{1,2}[.)-])\s+", "", last)
-    if item or len(plain_words(text)) <= 6 and "\n" not in text:
+    if item or unmarked_list(text) or len(plain_words(text)) <= 6 and "\n" not in text:
         first = LETTERS.findall(body)
         return odds < (-3.7 if len(first) < 8 else 0.5)
-    # Running text without a stop: a sentence that was cut, unless its words close sentences only.
+    # Running text without a stop: a sentence that was cut.  The odds are no help: a word cut short may end like those that close sentences.
     return True
 
 
