@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tomeflow.functions import text as T
 from tomeflow.operators import catalog, search
-from tomeflow.operators.chunking import chunk, heading_of, label_of, merged, sentences
+from tomeflow.operators.chunking import State, anchor_of, chunk, heading_of, label_of, merged, placed, sentences, unit_of
 from tomeflow.plans import registry
 from tomeflow.sources.loaders import html_text, json_texts, load, parse
 from tomeflow.streaming.ingest import ingest_new_files
@@ -71,6 +71,23 @@ def test_chunk(spark):
         chunk(df, child_size=50, overlap=50)
 
 
+def test_chunks_keep_the_place_of_the_pages_before(spark):
+    pages = [
+        ("1", "Unit 3: Motion\n# Speed\nSpeed tells how far a thing goes in a time.", "b", 0, 1), ("2", "This page goes on about how far things go.", "b", 1, 2), ("3", "## Force\nA force changes the motion of a thing.", "b", 2, 3),
+        ("4", "## Force\nA force changes the motion of a thing.", "b", 2, 4), ("5", None, "b", 3, 5), ("6", "The force goes on on this page, too.\n1-4", "b", 4, 6), ("7", "Light and shade\nLight falls on a wall of the house.", "b", 5, 7),
+        ("8", "This page follows the title of a lesson.", "b", 6, 8), ("9", "This page is of another book, without a place.", "c", 0, 9), ("10", "This page is of no book at all.", None, 0, 10),
+    ]
+    df = spark.createDataFrame(pages, "doc_id string, text string, book string, at int, copy bigint")
+    got = {r["doc_id"]: r for r in chunk(placed(df)).collect()}
+    assert got["2"]["heading"] == "Speed" and got["2"]["heading_path"] == ["Speed"] and got["2"]["chapter"] == "Speed"
+    assert got["3"]["heading_path"] == got["4"]["heading_path"] == got["6"]["heading_path"][:2] == ["Speed", "Force"] and got["6"]["lesson"] == "Force"
+    assert got["8"]["heading_path"] == ["Speed", "Light and shade"] and got["8"]["lesson"] == "Light and shade"
+    assert got["9"]["heading"] is None and got["10"]["heading"] is None and len(got) == 9
+    assert unit_of("الوحدة الدراسية الثانية عشرة") == ("الوحدة الدراسية الثانية عشرة", "Chapter 12") and unit_of("Unit One") == ("Unit One", "Chapter 1") and unit_of("Unitary 3") is None
+    assert anchor_of("1-4") == 2 and anchor_of("48") is None
+    assert State().take("Unit 3: Motion") == (State("Motion", 1, ("Motion",), {"chapter": "Chapter 3"}), False)
+
+
 def test_loaders(spark, tmp_path):
     (tmp_path / "a.txt").write_text("plain text", "utf-8")
     (tmp_path / "b.html").write_text("<h1>T</h1><script>x</script><ul><li>one<li>two</ul><p>end</p>", "utf-8")

@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..operators import catalog as C
 from ..operators import evaluate as E
 from ..operators import search as S
-from ..operators.chunking import chunk
+from ..operators.chunking import chunk, placed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -326,7 +326,7 @@ def answer_gates(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def chunk_pages(spark: SparkSession, d: str) -> DataFrame:
     """Parent and child chunks of all loaded pages."""
-    return chunk(t(spark, d, "loaded_pages").select(F.col("row_id").cast("string").alias("doc_id"), "text"))
+    return chunk(placed(t(spark, d, "loaded_pages").select(F.col("row_id").cast("string").alias("doc_id"), "text", F.col("file_reference_id").alias("book"), F.col("doc_idx").alias("at"), F.col("row_id").alias("copy"))))
 
 
 @query()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.chunking import chunk
+from ..operators.chunking import chunk, placed
 from ..sources.loaders import documents
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
@@ -28,8 +28,8 @@ def ingest_new_files(spark: SparkSession, inbox: str, store: str, checkpoint: st
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-        pages = fresh.select(F.concat_ws("#", "content_hash", F.col("doc_idx").cast("string")).alias("doc_id"), "text")
-        chunk(pages).write.mode("overwrite").parquet(f"{store}/chunks/batch={number}")
+        pages = fresh.select(F.concat_ws("#", "content_hash", F.col("doc_idx").cast("string")).alias("doc_id"), "text", F.col("content_hash").alias("book"), F.col("doc_idx").alias("at"), F.lit(0).alias("copy"))
+        chunk(placed(pages)).write.mode("overwrite").parquet(f"{store}/chunks/batch={number}")
         fresh.groupBy("content_hash").agg(F.min("source").alias("source"), F.count(F.lit(1)).alias("documents")).write.mode("overwrite").parquet(f"{store}/registry/batch={number}")
         docs.unpersist()
 
