@@ -28,6 +28,14 @@ def test_stem(spark, token, stem):
     assert one(spark, T.stem, token) == stem
 
 
+def test_tokens_with_and_without_repair(spark):
+    df = spark.createDataFrame([("الßمل",), ("Gäßchen",)], "x string")
+    on, off = [[r[0] for r in df.select(T.lex_tokens(F.col("x"), repair)).collect()] for repair in (True, False)]
+    whole = spark.createDataFrame([("الرمل",)], "x string").select(T.lex_tokens(F.col("x"), False)).first()[0]
+    assert on[0] == whole and len(whole) == 1 and off[0] != whole
+    assert off[1] == ["chen"] and on[1] != off[1]  # why the repair is not for Latin corpora
+
+
 def test_tokens_of_nothing(spark):
     assert one(spark, T.core_tokens, None) == []
     assert one(spark, T.core_tokens, "") == []
