@@ -10,6 +10,7 @@ from tomeflow.functions import text as T
 from tomeflow.operators import catalog, search
 from tomeflow.operators.chunking import State, anchor_of, chunk, heading_of, label_of, merged, placed, sentences, unit_of
 from tomeflow.plans import registry
+from tomeflow.sources import loaders
 from tomeflow.sources.loaders import html_text, json_texts, load, parse
 from tomeflow.streaming.ingest import ingest_new_files
 
@@ -120,6 +121,20 @@ def test_loaders(spark, tmp_path):
     assert html_text("") == "" and json_texts({"a": 1}) == [] and parse("x.yaml", b"text: hi") == ["hi"]
 
 
+def test_files_beyond_the_limit_give_an_error_row(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(loaders, "LARGEST", 20)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "small.txt").write_text("x" * 20, "utf-8")
+    (tmp_path / "in" / "large.TXT").write_text("x" * 21, "utf-8")
+    (tmp_path / "in" / "large.exe").write_text("x" * 21, "utf-8")
+    rows = {r["source"].rsplit("/", 1)[1]: r for r in load(spark, str(tmp_path / "in")).collect()}
+    assert set(rows) == {"small.txt", "large.TXT"} and rows["small.txt"]["error"] is None
+    assert rows["large.TXT"]["text"] is None and rows["large.TXT"]["source_type"] == "txt" and "21 bytes" in rows["large.TXT"]["error"]
+    ingest_new_files(spark, str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "cp"))
+    assert [r["source"].rsplit("/", 1)[1] for r in spark.read.parquet(f"{tmp_path}/store/errors").collect()] == ["large.TXT"]
+    assert spark.read.parquet(f"{tmp_path}/store/registry").count() == 1
+
+
 def test_streaming_ingest(spark, tmp_path):
     inbox, store, checkpoint = (str(tmp_path / x) for x in ("in", "store", "check"))
     (tmp_path / "in").mkdir()

@@ -139,6 +139,11 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 def documents(files: DataFrame) -> DataFrame:
     """The same from rows of the binaryFile source; works on a stream too."""
     known = F.lower(F.regexp_extract("path", r"\.[^./]+$", 0)).isin(*SUFFIXES)
+    # The content of larger files is not read, so they have no hash.
+    large = files.filter(known & (F.col("length") > LARGEST)).select(
+        F.col("path").alias("source"), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("source_type"), F.lit(None).cast("string").alias("content_hash"), F.lit(0).alias("doc_idx"), F.lit(None).cast("string").alias("text"),
+        F.concat(F.lit("ValueError: the file has "), F.col("length").cast("string"), F.lit(f" bytes, more than the {LARGEST} that are read")).alias("error"),
+    )
     rows = files.filter(known & (F.col("length") <= LARGEST)).select("path", "content", F.sha2("content", 256).alias("content_hash"))
     schema = pa.schema([("source", pa.string()), ("source_type", pa.string()), ("content_hash", pa.string()), ("doc_idx", pa.int32()), ("text", pa.string()), ("error", pa.string())])
 
@@ -154,4 +159,4 @@ def documents(files: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_pydict({n: [r[k] for r in out] for k, n in enumerate(schema.names)}, schema=schema)
 
-    return rows.mapInArrow(run, "source string, source_type string, content_hash string, doc_idx int, text string, error string")
+    return rows.mapInArrow(run, "source string, source_type string, content_hash string, doc_idx int, text string, error string").unionByName(large)

@@ -12,7 +12,7 @@ FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def ingest_new_files(spark: SparkSession, inbox: str, store: str, checkpoint: str) -> None:
-    """Takes the files that have come into ``inbox`` since the last call: chunks to ``store``/chunks, a row each to ``store``/registry.
+    """Takes the files that have come into ``inbox`` since the last call: chunks to ``store``/chunks, a row each to ``store``/registry, files that cannot be read to ``store``/errors.
 
     A batch that is run again after a failure writes the same folder again, so nothing is
     doubled; content that the registry has is left out by an anti join.
@@ -20,8 +20,9 @@ def ingest_new_files(spark: SparkSession, inbox: str, store: str, checkpoint: st
     stream = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").load(inbox)
 
     def take(batch: DataFrame, number: int) -> None:
-        docs = documents(batch).filter("text IS NOT NULL").persist()
-        fresh = docs.dropDuplicates(["content_hash", "doc_idx"])
+        docs = documents(batch).persist()
+        docs.filter("error IS NOT NULL").select("source", "content_hash", "error").write.mode("overwrite").parquet(f"{store}/errors/batch={number}")
+        fresh = docs.filter("text IS NOT NULL").dropDuplicates(["content_hash", "doc_idx"])
         try:
             known = spark.read.parquet(f"{store}/registry").filter(F.col("batch") != number).select("content_hash")
             fresh = fresh.join(known, "content_hash", "left_anti")
