@@ -116,30 +116,51 @@ def test_arabic_with_all_its_letters_persian(spark):
 # 1 ------------------------------------------------------------------------------------
 
 
-def test_scan_noise_words():
+def noise_of(spark, texts, words, pairs=(), compounds=()):
+    """Repairs and hyphens of texts, given the counts of words, pairs and compounds."""
+    stats = frame(spark, [("w" + w, n) for w, n in words.items()] + [("p" + p, n) for p, n in dict(pairs).items()] + [("h" + h, 50) for h in compounds], "key string, n bigint")
+    rows = frame(spark, [("s", i, "b", str(i), None, t) for i, t in enumerate(texts)], "src string, row_id bigint, book string, place string, page string, text string")
+    words_, breaks, _ = scan_noise.parts_of(scan_noise.inspect(rows, scan_noise.sure_forms(stats)))
+    found = {i: {} for i in range(len(texts))}
+    for r in scan_noise.misread(words_, stats).collect():
+        found[r["row_id"]][r["wrong"]] = r["right"]
+    return found, {r["row_id"] for r in scan_noise.compounds(breaks, stats).filter("NOT natural").collect()}
+
+
+def test_scan_noise_words(spark):
     words = {w: 100 for w in "the surface tension changes whether a map is drawn modern burning".split()} | {"surface": 200}
-    forms = scan_noise.Forms(words, {"the surface", "surface tension", "a map", "tension changes", "is drawn"}, {"vê-se"})
-    assert scan_noise.misread("the surfacc tension", forms) and scan_noise.misread("the 5urface tension", forms) and scan_noise.misread("amap is drawn", forms) and scan_noise.misread("ten sion changes", forms)
-    assert not scan_noise.misread("the surface tension changes", forms) and not scan_noise.misread("", forms) and not scan_noise.misread("Quivinpar is drawn", forms)
-    assert scan_noise.misread("the surfacc tension", forms, every=True) == {"surfacc": "surface"}
-    assert scan_noise.broken("the ten-\nsion", forms) and scan_noise.broken("obse¬\nrve", forms) and not scan_noise.broken("the end -\nthe map", forms) and not scan_noise.broken("vê-\nse", forms)
+    pairs_ = dict.fromkeys(["the surface", "surface tension", "a map", "tension changes", "is drawn"], 40)
+    texts = ["the surfacc tension", "the 5urface tension", "amap is drawn", "ten sion changes", "the surface tension changes", "", "Quivinpar is drawn", "the ten-\nsion", "obse¬\nrve", "the end -\nthe map", "vê-\nse", "the Surfacc tension and\r\nten-\r\nsion"]
+    wrong, broken = noise_of(spark, texts, words, pairs_, ["vê-se"])
+    assert wrong[0] == {"surfacc": "surface"} and wrong[1] == {"5urface": "surface"} and wrong[2] == {"amap": "a map"} and wrong[3] == {"ten sion": "tension"}
+    assert not wrong[4] and not wrong[5] and not wrong[6] and not wrong[7] and wrong[11] == {"Surfacc": "surface"}
+    assert broken == {7, 8, 11}
+    assert scan_noise.mended("The Surfacc ten sion", wrong[0] | wrong[3]) == "The Surface tension" and scan_noise.mended("", {}) == ""
 
 
 def test_frequent_misreadings_are_no_words(spark):
-    words = {"before": 9856, "bef0re": 42, "bcfore": 37, "compare": 4000, "cornpare": 16, "values": 4600, "v@lues": 17, "class": 4221, "dass": 1469, "que": 9191, "Qué": 126, "qué": 1386, "الهواء": 3025, "ا|هواء": 20, "CO2": 50}
-    forms = scan_noise.Forms(words, {"compare values", "values before"}, set())
-    assert set(words) - set(forms.words) == {"bef0re", "bcfore", "cornpare", "v@lues", "ا|هواء"}
-    assert scan_noise.misread("values bcfore", forms, every=True) == {"bcfore": "before"} and scan_noise.misread("compare v@lues", forms, every=True) == {"v@lues": "values"}
-    assert "bef0re" not in forms.meant("b3fore") and not scan_noise.misread("compare values before", forms)
+    words = {"before": 9856, "bef0re": 42, "bcfore": 37, "compare": 4000, "cornpare": 16, "values": 4600, "v@lues": 17, "class": 4221, "dass": 1469, "que": 9191, "qué": 1386, "الهواء": 3025, "ا|هواء": 20, "co2": 50}
+    stats = frame(spark, [("w" + w, n) for w, n in words.items()], "key string, n bigint")
+    assert set(words) - scan_noise.sure_forms(stats) == {"bef0re", "bcfore", "cornpare", "v@lues", "ا|هواء", "co2"}
+    wrong, _ = noise_of(spark, ["values bcfore", "compare v@lues", "compare values before of CO2", "the b3fore"], words, {"values before": 30})
+    assert wrong == {0: {"bcfore": "before"}, 1: {"v@lues": "values"}, 2: {}, 3: {}}
     hot = [(f"the page of {w} was scanned twice",) for w in ["harbour"] * 3] + [("harhour again",)] * 500
-    stats = {r["key"]: r["n"] for r in scan_noise.word_stats(frame(spark, hot, "text string").distinct()).filter("kind = 'w'").collect()}
-    assert stats["harhour"] == 1
-    assert "harhour" not in scan_noise.learn(frame(spark, hot, "text string")).words
+    stats = {r["key"]: r["n"] for r in scan_noise.word_stats(frame(spark, hot, "text string").distinct()).collect()}
+    assert stats["wharhour"] == 1
+    assert "harhour" not in scan_noise.sure_forms(scan_noise.learn(frame(spark, hot, "text string")))
+
+
+def test_rare_words_are_known_at_any_size(spark):
+    """A right word far below the share, and a misreading as far below it, are told apart by their own counts."""
+    words = {"the": 50_000_000, "stream": 900, "strearn": 2, "zorvan": 8}
+    wrong, _ = noise_of(spark, ["the strearn", "the zorvan", "the stream"], words, {"the stream": 500, "the zorvan": 8})
+    assert wrong == {0: {"strearn": "stream"}, 1: {}, 2: {}}
 
 
 def test_outer_lines():
     got = {x[1]: x for x in scan_noise.outer_lines("— 8 —    Physics — Telva\n\nThe wire is long and thin and\nleads to the other side.\n[9]")}
     assert got["physics — telva"][2] == "8" and got[""][2] == "9"
+    assert [x[:3] for x in scan_noise.outer_lines("Physics 12, Telva\r\rThe wire is long and thin and\rleads to the other side of it.\r- 7 -")] == [(0, "physics #, telva", ""), (4, "", "7")]
     assert scan_noise.outer_lines("") == [] and not [x for x in scan_noise.outer_lines("a word\n12\n13\n14\nmore words.") if not x[1]]
 
 
@@ -155,14 +176,44 @@ def test_scan_noise_tables(spark, tmp_path):
     assert text[1] == "The long wire leads to the other side of the river."
 
 
+def test_reflow_keeps_lists_headings_and_columns(spark):
+    text = "1.6 The trade route\nThe long wire leads to the ot-\nher side of the\nriver.\n- first thing\n- second thing\n12\n13\n- 4 -"
+    rows = frame(spark, [("s", 1, "b", "1", "4", text)], "src string, row_id bigint, book string, place string, page string, text string")
+    stats = frame(spark, [("wother", 10)], "key string, n bigint")
+    books = frame(spark, [], "book string, book_title string, book_subject string")
+    assert scan_noise.repaired(rows, stats, books).first()["text"] == "1.6 The trade route\nThe long wire leads to the other side of the river.\n- first thing\n- second thing\n12\n13"
+
+
 # 4 ------------------------------------------------------------------------------------
 
 
+#: How often texts of the corpus end after these, and go on.
+COUNTS = {"2 glass lens": (20, 5), "1 lens": (20, 5), "2 the glass": (0, 90), "1 the": (0, 90), "1 glass": (0, 60), "s short": (80, 20), "s item": (90, 10), "s sentence": (3, 97)}
+
+
 @pytest.fixture(scope="module")
-def judge():
-    endings = pairs.Endings({"2 glass lens": (20, 5), "1 lens": (20, 5), "2 the glass": (0, 25), "1 the": (0, 90)})
+def judge(spark):
+    import math
+
     model = pairs.CharBayes(list(language.SEED.items()))
-    return lambda q, a: pairs.pair_defects(q, a, endings, model)
+
+    def one(q, a):
+        found, contexts = pairs.pair_defects(q, a, model)
+        if contexts:  # what the query does by joins
+            odds = next((math.log((COUNTS[c][0] + 0.2) / (COUNTS[c][1] + 0.2)) for c in contexts[1:] if c in COUNTS), -9.0)
+            ended, stopped = COUNTS[contexts[0]]
+            if odds + pairs.SHAPE * math.log((ended + 0.2) / (ended + stopped + 0.4)) < pairs.CUT:
+                found = found + ["truncated"]
+        return found
+
+    return one
+
+
+def test_truncation_is_decided_by_the_counts_of_all_pairs(spark):
+    rows = [(i, "What is it?", "It is the glass lens.") for i in range(80)] + [(100 + i, "What is it?", "the glass lens") for i in range(20)] + [(200, "What is it?", "the glass"), (201, "What is it?", "It is the glass lens. It is the"), (202, None, None), (203, "q", "")]
+    got = {(r["turn_key"], r["defect"]) for r in pairs.defects(frame(spark, rows, "turn_key bigint, query string, answer string")).collect()}
+    assert got == {(200, "truncated"), (201, "truncated"), (202, "empty"), (203, "empty")}
+    assert pairs.defects(frame(spark, [], "turn_key bigint, query string, answer string")).count() == 0
 
 
 @pytest.mark.parametrize(
@@ -228,10 +279,34 @@ def test_near_duplicates_whose_rare_words_differ(spark):
         pairs_.add((f"p{i}a", f"p{i}b"))
     got = {(r["chunk_id_a"], r["chunk_id_b"]) for r in near_duplicates.similar_pairs(frame(spark, rows, "chunk_id string, text string")).collect()}
     assert not got - pairs_ and len(got) >= 0.97 * len(pairs_)
+    signed = near_duplicates.sign(frame(spark, rows, "chunk_id string, text string"))
+    found = near_duplicates.similar_classes(signed).collect()
+    assert all(0.729 < r["jaccard"] < 1 and r["similarity"] >= 0.85 for r in found) and len(found) >= 0.97 * len(pairs_)
     lowest = 0.85 / (0.85 + 0.3 * near_duplicates.HEAVIEST)
     assert 1 - (1 - lowest**near_duplicates.ROWS) ** near_duplicates.BANDS >= 0.99
 
 
+def test_hot_bands_are_split_without_loss(spark, monkeypatch):
+    """Very many classes of one band: every pair is found, in blocks."""
+    base = [f"w{k}" for k in range(60)]
+    rows = [(f"c{i}", " ".join([*base, f"x{i}"])) for i in range(60)]
+    monkeypatch.setattr(near_duplicates, "BLOCK", 8)
+    monkeypatch.setattr(near_duplicates, "SAMPLED", 1)
+    df = frame(spark, rows, "chunk_id string, text string")
+    assert near_duplicates.banded(near_duplicates.sign(df)).filter("block > 0").count() > 0
+    assert near_duplicates.similar_pairs(df).count() == 60 * 59 // 2
+    group = near_duplicates.groups(frame(spark, [*rows, ("copy", rows[0][1])], "chunk_id string, text string")).collect()
+    assert len({r["group_id"] for r in group}) == 1 and {r["members"] for r in group} == {1, 2} and all(r["links"] == 59 for r in group)
+
+
+def test_long_texts_raise_the_share_of_shipped_weights(spark, monkeypatch):
+    rows = [(f"c{i}", " ".join(f"w{(i * 7 + k) % 50}" for k in range(30))) for i in range(20)] + [("d", " ".join(f"w{k % 50}" for k in range(30)))]
+    df = frame(spark, rows, "chunk_id string, text string")
+    whole = {tuple(r) for r in near_duplicates.similar_pairs(df).collect()}
+    monkeypatch.setattr(near_duplicates, "TABLE", 3)
+    assert {tuple(r) for r in near_duplicates.similar_pairs(df).collect()} == whole
+
+
 # 8 ------------------------------------------------------------------------------------
 
 
@@ -251,6 +326,29 @@ def test_mix(spark, tmp_path):
     assert shares["small"]["actual_share"] == pytest.approx(2 / 3, abs=0.01)
 
 
+def test_mix_of_many_subjects_keeps_its_marginals(spark, tmp_path, monkeypatch):
+    docs = [(i, f"word {i} " * 5, "big" if i % 2 else "small", ("en", "fr", "de")[i % 3], f"s{i % 90}") for i in range(2700)]
+    frame(spark, docs, "doc_id bigint, text string, source string, lang string, subject string").write.parquet(f"{tmp_path}/documents.parquet")
+    frame(spark, [("big", 0.5, 1), ("small", 0.5, 1)], "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    monkeypatch.setattr(mixing, "BUCKET", 100)
+    mix = mixing.p8_mix(spark, str(tmp_path))
+    share = {r["source"]: r["t"] for r in mix.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("t")).collect()}
+    assert share["big"] / sum(share.values()) == pytest.approx(0.5, abs=0.005)
+    monkeypatch.setattr(mixing, "CELLS", 60)
+    assert mixing.p8_mix(spark, str(tmp_path)).count() > 2000
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tomeflow.llm import common
+
+    empty = SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isEmpty=lambda: True))
+    session = SimpleNamespace(sparkContext=SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: empty), master="spark://host:7077"), conf=SimpleNamespace(get=lambda *_: ""))
+    with pytest.raises(RuntimeError):
+        common.shared_checkpoint(SimpleNamespace(sparkSession=session))
+
+
 # 9 ------------------------------------------------------------------------------------
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-import sys
 import tempfile
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -21,13 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage of ``df`` in the folder of ``spark.checkpoint.dir``.
 
-    The cluster names a folder that all executors share.  Only where none is named, as in
-    tests on one machine, a temporary one is set.
+    The cluster names a folder that all executors share.  Only a session whose executors are
+    this very process (master ``local``) gets a temporary one if none is named; any other
+    without the setting is refused, as its executors would write where no other can read.
     """
     spark = df.sparkSession
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         configured = spark.conf.get("spark.checkpoint.dir", "")
+        if not configured and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tomeflow-checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -85,29 +87,13 @@ class Counts:
 
 
 def bounded_rows(df: DataFrame, bound: int) -> list:
-    """The rows of a table whose size is bounded by a threshold on relative frequency.
-
-    The bound is checked, not assumed: a table beyond it is a programming error.
-    """
+    """The rows of a table that is to have at most ``bound`` rows; the bound is checked, not assumed."""
     rows = df.limit(bound + 1).collect()
     if len(rows) > bound:
         raise ValueError(f"a table of at most {bound} rows was expected")
     return rows
 
 
-def frequent(df: DataFrame, key: str | list[str], count: str, share: float, least: int) -> tuple[list, int]:
-    """Keys with at least ``share`` of the total count: by that never more than 1 / share of them.
-
-    Returns the rows (keys, count) and the total.  ``least`` is the count that a key needs
-    at any size, so that small corpora do not call everything frequent.
-    """
-    keys = [key] if isinstance(key, str) else key
-    total = df.agg(F.sum(count).alias("t")).first()["t"] or 0
-    floor = max(least, int(total * share) + 1)
-    rows = bounded_rows(df.filter(F.col(count) >= floor).select(*keys, count), int(1 / share) + 1)
-    return rows, total
-
-
 #: Python caches of one worker are emptied beyond this many keys.
 CACHE = 200_000
 
@@ -119,10 +105,3 @@ def ordinal_lines(text: str) -> list[str]:
 def tokenizers_dir(path: str | None = None) -> str:
     """Folder of the public tokenizer vocabularies: argument, then TOKENIZERS_DIR, then /opt/tokenizers."""
     return path or os.environ.get("TOKENIZERS_DIR") or "/opt/tokenizers"
-
-
-def empty_result(spark: SparkSession, ddl: str) -> DataFrame:
-    return spark.createDataFrame([], ddl)
-
-
-assert sys.version_info >= (3, 10)

@@ -1,17 +1,25 @@
 """Problem 1: noise in text from scanned pages, found and repaired.
 
 Words are grouped by a confusable-glyph skeleton (0 as o, 1 as l, rn as m, a bar as lam ...).
-A word that is rare while its skeleton has a frequent form was misread, if the words beside
-it support that form.  Rare is also a frequent form ``RATIO`` times rarer than the most
-frequent one of its skeleton, or with a sign inside that this one has not, whatever its share.
+A word was misread if a far more frequent form has its skeleton and the words beside it
+support that form; words that hold a sign inside, and long ones, need no support beyond the
+skeleton.  Two words that ran together are told by the pair of words that they make, one that
+was split by the word that its parts make; either must be far more frequent than the odd one.
+Words broken over a line end are put together first, so that their parts are not taken for
+misread words.
+
 Forms and pairs of words are counted over all distinct texts of both tables, so that copies of
-one bad page do not make its words known; frequent are those with at least ``SHARE`` of all, so that there are never more than
-1 / SHARE of them and the broadcast has a proven bound.  Lines outside of the running text
-are compared with digits masked: a line is a running title if its masked form recurs on
-several pages of its book or is built from the book's title or subject; page numbers are
-read off such lines or stand alone.  The texts are put together again line by line with SQL
-windows: broken words joined, running titles and page numbers left out, lines of a
-paragraph joined by spaces.
+one bad page do not make its words known.  All of them count, at any size: the counts are
+joined by a shuffle to the words in question.  Only to spare most words that join, the forms
+with at least ``SHARE`` of all words (so never more than 1 / SHARE of them) that have no
+twin in their skeleton are known to the workers as words beyond doubt.
+
+Lines outside of the running text are compared with digits masked: a line is a running title
+if its masked form recurs on several pages of its book or is built from the book's title or
+subject; page numbers are read off such lines or stand alone.  A line of more than ``TITLE``
+characters is running text.  The texts are put together again line by line with SQL windows:
+broken words joined, running titles and page numbers left out, lines of a paragraph joined by
+spaces; list items, headings and columns of numbers keep their lines.
 
 Null and blank texts give no row.  Repeated rows give repeated results, but count as one
 page for recurrence.  Books without a registry row are judged by recurrence alone.
@@ -23,25 +31,31 @@ import re
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import CACHE, Counts, frequent, map_rows, table
+from .common import Counts, bounded_rows, map_rows, ordinal_lines, shared_checkpoint, table
 from .lookalikes import PLAIN, TASHKEEL, fold
 
-#: Share of all words (of all pairs of words) that a frequent form (pair) has.
-SHARE, PAIR_SHARE = 4e-6, 2e-6
-LEAST, LEAST_PAIR = 6, 3
-#: A form so many times rarer than its twin is no word of its own.
-RATIO = 40
+#: Share of all words that a form beyond doubt has.
+SHARE = 4e-6
+#: Counts from which a form, a pair of words and a compound are known.
+LEAST, LEAST_PAIR, LEAST_COMPOUND = 6, 3, 2
+#: A known form so many times rarer than its twin is no word of its own; a rare one needs a twin, pair or whole so many times more frequent.
+RATIO, RARER = 40, 4
+#: Parts of a split word may be so many times more frequent than the whole.
+PARTS = 20
+#: Most characters of a line that could be a running title.
+TITLE = 150
 
 # Glyphs that scans confuse; the first of each is what the skeleton holds.
 GLYPHS = {"o": "0", "i": "!", "l": "1", "s": "5$", "g": "9", "b": "6", "a": "@", "t": "f+", "c": "eéèêë¢€", "ل": "|", "ي": "þى", "م": "¤", "ن": "ñ", "ر": "ß", "ت": "Ë", "ب": "ٮ", "ق": "Ø", "ع": "Ð", "ج": "ïخحچ", "ف": "ڡ", "ه": "§", "ص": "ض", "ط": "ظ"}
-ONE_LETTER = set("aàeoyóAEOY")
+ONE_LETTER = set("aàeoyó")
 PAIRS = {"rn": "m", "ii": "u", "vv": "w", "cl": "d", "li": "h"}
 ARABIC_MARKS = "|¤§ßþñËØÐï"
 HYPHEN_MARKS = "-¬–=‐­~"
 
+_AT_END = re.compile(rf"[{re.escape(HYPHEN_MARKS)}][ \t]*[\r\n]")
 _CLASS = {ord(x): k for k, xs in GLYPHS.items() for x in xs}
 # Words are compared in one spelling of Arabic and Persian letters.
 _ONE = {ord(c): None for c in TASHKEEL} | {ord("ی"): "ي", ord("ک"): "ك"}
@@ -73,159 +87,177 @@ def skeleton(word: str, merge: bool = True) -> str:
     return w.translate(_CLASS)
 
 
+def broken_words(text: str) -> list[tuple[str, str, str]]:
+    """(first part, mark, second part) of the words that a mark could break over a line end."""
+    out = []
+    for m in _BROKEN.finditer(text):
+        a, mark, b = m.groups()
+        letters = (a[-1].isalpha() or a[-1] in "@!|¤§") and (b[0].isalpha() or b[0] in "@!|¤§")
+        title = b[0].isupper() and not a[-1].isupper() and mark in "-–="  # a dash before the next line
+        if letters and not title or b[0].isupper() and a.isupper():
+            out.append((a, mark, b))
+    return out
+
+
+def whole_words(text: str) -> tuple[str, list[tuple[str, str, str]]]:
+    """(the prepared text with its broken words put together, those words)."""
+    if not _AT_END.search(text):
+        return prepare(text), []
+    text = prepare(text.replace("\xad", "¬"))  # a soft hyphen at a line end is a mark, not nothing
+    found = broken_words(text)
+    return (_BROKEN.sub(r"\1\3", text) if found else text), found
+
+
 def word_stats(texts: DataFrame) -> DataFrame:
-    """(kind, key, n): words 'w', pairs of words 'p' and compounds 'h' of all texts, counted in the tasks first."""
-    schema = pa.schema([("kind", pa.string()), ("key", pa.string()), ("n", pa.int64())])
+    """(key, n): words 'w', pairs of words 'p' and compounds 'h' of all texts in lower case, counted in the tasks first."""
+    schema = pa.schema([("key", pa.string()), ("n", pa.int64())])
 
     def make() -> Callable:
         words, pairs = Counts(), Counts(500_000)
 
         def rows() -> dict[str, list]:
             w, p = words.drain(), pairs.drain()
-            return {"kind": [k[0] for k, _ in w] + ["p"] * len(p), "key": [k[1:] for k, _ in w] + [f"{a} {b}" for (a, b), _ in p], "n": [n for _, n in w] + [n for _, n in p]}
+            return {"key": [k for k, _ in w] + [f"p{a} {b}" for (a, b), _ in p], "n": [n for _, n in w] + [n for _, n in p]}
 
         def one(c: dict[str, list]) -> dict[str, list] | None:
             if not c:
                 return rows()
             count = words.n
             for text in c["text"]:
-                found = TOKEN.findall(prepare(text))
+                body = whole_words(text)[0].lower()
+                found = TOKEN.findall(body)
                 for w in found:
                     k = "w" + w
                     count[k] = count.get(k, 0) + 1
                 pairs.add(zip(found, found[1:]))
-                if "-" in text:
-                    words.add("h" + x.lower() for x in _COMPOUND.findall(text))
+                if "-" in body:
+                    words.add("h" + x for x in _COMPOUND.findall(body))
             return rows() if words.full or pairs.full else None
 
         return one
 
-    counted = map_rows(texts.select("text"), make, schema, "kind string, key string, n bigint", after=lambda one: one({}))
-    return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    counted = map_rows(texts.select("text"), make, schema, "key string, n bigint", after=lambda one: one({}))
+    return counted.groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def spoilt(w: str) -> bool:
     """Does the word hold a sign or digit where words have letters?"""
+    if _ARABIC_ODD.search(w):
+        return True
     return bool(_LATIN_ODD.search(w)) and any(c.isalpha() for c in w) and not re.fullmatch(r"[A-Z0-9]+|[0-9]+[a-z]{1,3}|[a-z][0-9]+", w)
 
 
-def misread_forms(words: dict[str, int]) -> set[str]:
-    """Frequent forms that are misreadings of a more frequent form of their skeleton; that one is among ``words`` as well."""
-    total: dict[str, int] = {}
-    for w, n in words.items():
-        total[w.lower()] = total.get(w.lower(), 0) + n
-    best: dict[str, tuple[int, str]] = {}
-    odd = {w for w in total if spoilt(w) or _ARABIC_ODD.search(w)}
-    for w, n in total.items():
-        if len(w) > 2 and w not in odd:
-            for sk in {skeleton(w), skeleton(w, False)}:
-                best[sk] = max(best.get(sk, (0, "")), (n, w))
-    found = set()
-    for w, n in total.items():
-        if len(w) > 2 and not w.isdigit():
-            twin = max((best.get(sk, (0, "")) for sk in {skeleton(w), skeleton(w, False)}))
-            if twin[1] not in ("", w) and (w in odd or twin[0] >= RATIO * n):
-                found.add(w)
-    return {w for w in words if w.lower() in found}
-
-
-class Forms:
-    """Frequent forms, pairs and compounds, misreadings left out; verdicts on words are kept a worker."""
-
-    def __init__(self, words: dict[str, int], pairs: set[str], compounds: set[str]) -> None:
-        wrong = misread_forms(words)
-        self.words = words = {w: n for w, n in words.items() if w not in wrong}
-        self.low = {w.lower() for w in words}
-        self.pairs = pairs
-        self.compounds = compounds
-        self.by_skeleton: dict[str, list[str]] = {}
-        for w in words:
-            if len(w) > 2:
-                for sk in {skeleton(w), skeleton(w, False)}:
-                    self.by_skeleton.setdefault(sk, []).append(w)
-        self.verdict: dict[str, tuple[str, ...] | None] = {}
-
-    def meant(self, w: str) -> tuple[str, ...]:
-        """Frequent forms that a rare word may have been, or () ."""
-        got = self.verdict.get(w)
-        if got is None:
-            if len(self.verdict) > CACHE:
-                self.verdict.clear()
-            low = w.lower()
-            found = {f for sk in {skeleton(w), skeleton(w, False)} for f in self.by_skeleton.get(sk, ()) if f.lower() != low and "-" not in f}
-            got = self.verdict[w] = tuple(sorted(found, key=lambda f: (-self.words[f], f)))
-        return got
-
-    def known(self, w: str) -> bool:
-        return w in self.words or w.lower() in self.low or w[:1].isupper() and w.capitalize() in self.words
-
-    def pair(self, a: str, b: str) -> bool:
-        return f"{a} {b}" in self.pairs
-
-
-def misread(text: str, forms: Forms, every: bool = False) -> dict[str, str] | bool:
-    """Is any word of the prepared text spoilt?  With ``every``: spoilt form -> meant form of all that can be repaired."""
-    repairs: dict[str, str] = {}
-    odd = bool(_ARABIC_ODD.search(text))
-    if odd and not every:
-        return True
-    found = TOKEN.findall(text)
-    known = forms.known
-    unknown = [i for i, w in enumerate(found) if w not in forms.words and len(w) > 1 and not known(w)]
-    for i in unknown:
-        w = found[i]
-        if w.isdigit():
-            continue
-        before, after = found[i - 1] if i else "", found[i + 1] if i + 1 < len(found) else ""
-        meant = forms.meant(w)
-        digit = spoilt(w)
-        if meant:
-            fits = next((f for f in meant if forms.pair(before, f) or forms.pair(f, after)), "")
-            if fits or digit or len(w) > 7 and len(meant[0]) > 7:
-                if not every:
-                    return True
-                repairs[w] = fits or meant[0]
-                continue
-        if digit or _GLUED.search(w) and len(w) > 3:
-            odd = True
-            if not every:
-                return True
-        least = 3 if w[0] >= "\u0600" else 2
-        for k in range(1, len(w)):  # words run together
-            a, b = w[:k], w[k:]
-            if (len(a) >= least or a in ONE_LETTER) and (len(b) >= least or b in ONE_LETTER) and forms.pair(a, b):
-                if not every:
-                    return True
-                repairs[w] = f"{a} {b}"
-                break
-        for a, b in ((before, w), (w, after)):  # one word split in two: neither part is a word that is far more frequent than the whole
-            whole = forms.words.get(a + b)
-            if a and b and whole and len(a) + len(b) > 3 and not forms.pair(a, b) and max(forms.words.get(a, 0), forms.words.get(b, 0)) < 20 * whole:
-                if not every:
-                    return True
-                repairs[f"{a} {b}"] = a + b
-    return repairs if every else odd
-
-
-def broken(text: str, forms: Forms) -> bool:
-    """Is a word broken over a line end by a mark?  Compounds that have their hyphen anyway are not."""
-    for m in _BROKEN.finditer(text):
-        a, mark, b = m.groups()
-        if not (a[-1].isalpha() or a[-1] in "@!|¤§") or not (b[0].isalpha() or b[0] in "@!|¤§") or b[0].isupper() and not a[-1].isupper() and mark in "-–=":
-            if not (b[0].isupper() and a.isupper()):
-                continue
-        if mark in "-‐" and natural(a, b, forms):
-            continue
-        return True
-    return False
+def skeletons(w: str) -> set[str]:
+    return {skeleton(w), skeleton(w, False)}
+
+
+def sure_forms(stats: DataFrame, share: float = SHARE) -> frozenset[str]:
+    """Forms with at least ``share`` of all words but those that a form of their skeleton outnumbers ``RATIO`` times: at most 1 / share."""
+    words = stats.filter(F.col("key").startswith("w"))
+    total = words.agg(F.sum("n").alias("t")).first()["t"] or 0
+    floor = max(LEAST, int(total * share) + 1)
+    rows = bounded_rows(words.filter(F.col("n") >= floor), int(1 / share) + 1)
+    counts = {r["key"][1:]: r["n"] for r in rows}
+    best: dict[str, int] = {}
+    for w, n in counts.items():
+        if len(w) > 2 and not spoilt(w):
+            for sk in skeletons(w):
+                best[sk] = max(best.get(sk, 0), n)
+    return frozenset(w for w, n in counts.items() if len(w) < 3 or not spoilt(w) and max(best.get(sk, 0) for sk in skeletons(w)) < RATIO * n)
+
+
+def twin_limit(w: str, n: int) -> int:
+    """How often a form must occur to be what a word that occurs n times was misread from."""
+    return max(2, n) if spoilt(w) else RATIO * n if n >= LEAST else max(LEAST, RARER * n)
+
+
+def splits(w: str) -> list[tuple[str, str]]:
+    """Where two words could have run together."""
+    least = 3 if w[0] >= "\u0600" else 2
+    return [(w[:k], w[k:]) for k in range(1, len(w)) if (k >= least or w[:k] in ONE_LETTER) and (len(w) - k >= least or w[k:] in ONE_LETTER)]
+
+
+def word_verdicts(words: DataFrame, stats: DataFrame) -> DataFrame:
+    """(word, meant, apart): of each word (in lower case) the more frequent forms of its skeleton, the most frequent first, and the two words that ran together in it.
+
+    Words of which neither is found give no row.
+    """
+    ask = pa.schema([("word", pa.string()), ("key", pa.string())])
+    fact = pa.schema([("key", pa.string()), ("form", pa.string()), ("n", pa.int64())])
+
+    def asks() -> Callable:
+        def one(c: dict[str, list]) -> dict[str, list]:
+            rows = [(w, k) for w in c["word"] for k in ("w" + w, *("s" + sk for sk in sorted(skeletons(w)) if len(w) > 2), *(f"p{a} {b}" for a, b in splits(w)))]
+            return {"word": [r[0] for r in rows], "key": [r[1] for r in rows]}
 
+        return one
+
+    def twins() -> Callable:
+        def one(c: dict[str, list]) -> dict[str, list]:
+            rows = [("s" + sk, k[1:], n) for k, n in zip(c["key"], c["n"], strict=True) if len(k) > 3 and not spoilt(k[1:]) for sk in sorted(skeletons(k[1:]))]
+            return {"key": [r[0] for r in rows], "form": [r[1] for r in rows], "n": [r[2] for r in rows]}
+
+        return one
 
-def natural(a: str, b: str, forms: Forms) -> bool:
-    """Is a-b a compound that is written with its hyphen (and not the word ab broken)?"""
-    if forms.known(a + b):
-        return False
-    low = f"{a}-{b}".lower()
-    return low in forms.compounds or forms.known(a) and forms.known(b) and len(b) < 4 and (len(a) > 2 or low in forms.compounds)
+    def judge() -> Callable:
+        def one(c: dict[str, list]) -> dict[str, list]:
+            rows = []
+            for w, facts in zip(c["word"], c["facts"], strict=True):
+                n = max([f["n"] for f in facts if f["key"][0] == "w"], default=1)
+                least = twin_limit(w, n)
+                near = {f["form"]: f["n"] for f in facts if f["key"][0] == "s" and f["form"] != w and f["n"] >= least}
+                pair = max(((f["n"], f["key"][1:]) for f in facts if f["key"][0] == "p" and f["n"] >= max(LEAST_PAIR, RARER * n)), default=(0, None))[1]
+                if near or pair:
+                    rows.append((w, sorted(near, key=lambda f: (-near[f], f)), pair))
+            return {"word": [r[0] for r in rows], "meant": [r[1] for r in rows], "apart": [r[2] for r in rows]}
+
+        return one
+
+    wanted = map_rows(words.select("word"), asks, ask, "word string, key string")
+    own = stats.filter(~F.col("key").startswith("h")).select("key", F.substring("key", 2, 2**31 - 1).alias("form"), "n")
+    by_skeleton = map_rows(stats.filter(F.col("key").startswith("w")), twins, fact, "key string, form string, n bigint")
+    facts = wanted.join(own.unionByName(by_skeleton), "key").groupBy("word").agg(F.collect_list(F.struct("key", "form", "n")).alias("facts"))
+    schema = pa.schema([("word", pa.string()), ("meant", pa.list_(pa.string())), ("apart", pa.string())])
+    return map_rows(facts, judge, schema, "word string, meant array<string>, apart string")
+
+
+def with_counts(rows: DataFrame, by: list[str], keys: dict[str, Column], stats: DataFrame) -> DataFrame:
+    """``by`` and the count of each key (0 if it never occurs), for distinct ``by``."""
+    each = F.array(*(F.struct(F.lit(name).alias("name"), key.alias("key")) for name, key in keys.items()))
+    asked = rows.select(*by, F.inline(each)).join(stats, "key", "left")
+    return asked.groupBy(*by).agg(*(F.coalesce(F.max(F.when(F.col("name") == name, F.col("n"))), F.lit(0)).alias(name) for name in keys))
+
+
+def misread(odd: DataFrame, stats: DataFrame) -> DataFrame:
+    """(src, row_id, wrong, right) of the words (src, row_id, before, word, after) that are spoilt."""
+    low = odd.withColumn("low", F.lower("word")).withColumn("before", F.lower("before")).withColumn("after", F.lower("after"))
+    row, join = ["src", "row_id"], lambda *c: F.concat(*(F.lit(x) if isinstance(x, str) and len(x) < 2 else F.col(x) for x in c))
+    verdicts = shared_checkpoint(word_verdicts(low.select(F.col("low").alias("word")).distinct(), stats)).withColumnRenamed("word", "low")
+    # Misread for another form: supported by a neighbour, or of itself.
+    cases = low.join(verdicts, "low")
+    sign = F.col("low").rlike(_LATIN_ODD.pattern) | F.col("low").rlike(_ARABIC_ODD.pattern)
+    free = sign | (F.length("low") > 7) & (F.length(F.get("meant", F.lit(0))) > 7)
+    alone = cases.filter((F.size("meant") > 0) & free).select(*row, F.col("word").alias("wrong"), F.get("meant", F.lit(0)).alias("right"))
+    each = cases.filter(~free).select(*row, "word", "before", "after", F.posexplode("meant").alias("at", "form"))
+    beside = each.select(*row, "word", "at", "form", F.explode(F.array(join("p", "before", " ", "form"), join("p", "form", " ", "after"))).alias("key")).join(stats.filter(F.col("n") >= LEAST_PAIR), "key")
+    supported = beside.groupBy(*row, F.col("word").alias("wrong")).agg(F.min_by("form", "at").alias("right"))
+    apart = cases.filter("apart IS NOT NULL").select(*row, F.col("word").alias("wrong"), F.col("apart").alias("right"))
+    # One word split in two: neither part is far more frequent than the whole, the parts hardly ever stand side by side.
+    parts = low.select(*row, F.inline(F.array(F.struct(F.col("before").alias("a"), F.col("low").alias("b")), F.struct(F.col("low").alias("a"), F.col("after").alias("b"))))).filter("a <> '' AND b <> '' AND length(a) + length(b) > 3")
+    wholes = parts.withColumn("key", F.concat(F.lit("w"), "a", "b")).join(stats.filter((F.col("n") >= LEAST) & F.col("key").startswith("w")), "key").select(*row, "a", "b", F.col("n").alias("whole")).distinct()
+    split = with_counts(wholes, [*row, "a", "b", "whole"], {"n_a": F.concat(F.lit("w"), "a"), "n_b": F.concat(F.lit("w"), "b"), "n_pair": F.concat(F.lit("p"), "a", F.lit(" "), "b")}, stats)
+    split = split.filter((F.col("n_pair") * RARER <= F.col("whole")) & (F.greatest("n_a", "n_b") < PARTS * F.col("whole")))
+    return alone.unionByName(supported).unionByName(apart).unionByName(split.select(*row, F.concat_ws(" ", "a", "b").alias("wrong"), F.concat("a", "b").alias("right"))).distinct()
+
+
+def compounds(breaks: DataFrame, stats: DataFrame) -> DataFrame:
+    """(src, row_id, a, b, natural) of words (src, row_id, a, mark, b) at line ends: natural ones are written with their hyphen anyway."""
+    a, b = F.lower("a"), F.lower("b")
+    by = ["src", "row_id", "a", "mark", "b"]
+    n = with_counts(breaks, by, {"whole": F.concat(F.lit("w"), a, b), "compound": F.concat(F.lit("h"), a, F.lit("-"), b), "n_a": F.concat(F.lit("w"), a), "n_b": F.concat(F.lit("w"), b)}, stats)
+    known = (F.col("n_a") >= LEAST) & (F.col("n_b") >= LEAST) & (F.length("b") < 4) & (F.length("a") > 2)
+    natural = F.col("mark").isin("-", "‐") & (F.col("whole") < LEAST) & ((F.col("compound") >= LEAST_COMPOUND) | known)
+    return n.select(*by, natural.alias("natural"))
 
 
 # Lines outside of the running text ---------------------------------------------------
@@ -264,9 +296,7 @@ def outer_lines(text: str) -> list[tuple[int, str, str, bool, bool, bool]]:
     """Lines that could stand outside of the running text:
     (line number, masked title, number, number is decorated, line stands out, ends in …).
     """
-    if len(text) > 150 and "\n" not in text:
-        return []
-    lines = text.split("\n")
+    lines = ordinal_lines(text)
     full = [i for i, x in enumerate(lines) if x.strip()]
     if not full:
         return []
@@ -275,7 +305,7 @@ def outer_lines(text: str) -> list[tuple[int, str, str, bool, bool, bool]]:
     for k, i in enumerate(full):
         raw = lines[i].rstrip("\r")
         s = raw.strip()
-        if len(s) > 150:
+        if len(s) > TITLE:
             continue
         edge = k == 0 or k == len(full) - 1
         above = lines[full[k - 1]].strip() if k else ""
@@ -298,7 +328,7 @@ def outer_lines(text: str) -> list[tuple[int, str, str, bool, bool, bool]]:
                     s = m[3 - at]
                     break
         cut = len(s) < 70 and s.endswith("…") and not s[:-1].endswith((" ", "."))
-        if not any(c.isalpha() for c in s) or len(s) > 120 or s[-1] in _END or _FORMULA.search(s):
+        if not any(c.isalpha() for c in s) or s[-1] in _END or _FORMULA.search(s):
             continue
         marked = cut or bool(re.search(r" [–—|·] |, [^\W\d_]+$|\d$", s)) and not _NUMERIC.search(re.split(r"\s\|\s", s)[-1][:1] or "x")
         short = len(raw) < 0.75 * widest or len(full) == 1
@@ -318,58 +348,44 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.unionByName(chunks).filter(F.col("text").rlike(r"\S"))
 
 
-def learn(texts: DataFrame) -> Forms:
-    """The frequent forms of all texts: bounded by their share, so they fit any worker."""
-    from .common import shared_checkpoint
-
-    stats = shared_checkpoint(word_stats(texts.select("text").distinct()).filter("n > 1"))
-    words, _ = frequent(stats.filter("kind = 'w'"), "key", "n", SHARE, LEAST)
-    pairs, _ = frequent(stats.filter("kind = 'p'"), "key", "n", PAIR_SHARE, LEAST_PAIR)
-    compounds, _ = frequent(stats.filter("kind = 'h'"), "key", "n", 1e-4, 2)
-    return Forms({r["key"]: r["n"] for r in words}, {r["key"] for r in pairs}, {r["key"] for r in compounds})
-
-
-_forms: dict[str, Forms] = {}
-
+def learn(texts: DataFrame) -> DataFrame:
+    """Counts of all forms, pairs and compounds that occur more than once, written to the shared checkpoint."""
+    return shared_checkpoint(word_stats(texts.select("text").distinct()).filter("n > 1"))
 
-def worker_forms(shared) -> Forms:  # noqa: ANN001
-    """The forms of a broadcast, built once a worker."""
-    key = str(getattr(shared, "_path", None) or id(shared))
-    if key not in _forms:
-        _forms.clear()
-        _forms[key] = Forms(*shared.value)
-    return _forms[key]
 
+def inspect(texts: DataFrame, sure: frozenset[str]) -> DataFrame:
+    """(src, row_id, kind, book, place, page, line, a, b, c, decorated, apart, cut): what is to be judged of each text.
 
-def inspect(texts: DataFrame, forms: Forms) -> DataFrame:
-    """One row for each text with broken or misread words, and one for each line that could stand outside of the running text.
-
-    (src, row_id, book, place, page, line, hyphen, misread, title, number, decorated, apart, cut): ``line`` is null in rows on words.
+    'word': a word b that is not beyond doubt, between a and c; 'break': parts a and c of a word, broken by b;
+    'line': a line that could stand outside of the running text, with its masked title a and number b.
     """
-    shared = texts.sparkSession.sparkContext.broadcast((forms.words, forms.pairs, forms.compounds))
+    shared = texts.sparkSession.sparkContext.broadcast(sure)
     schema = pa.schema(
-        [("src", pa.string()), ("row_id", pa.int64()), ("book", pa.string()), ("place", pa.string()), ("page", pa.string()), ("line", pa.int32()), ("hyphen", pa.bool_()), ("misread", pa.bool_()),
-         ("title", pa.string()), ("number", pa.string()), ("decorated", pa.bool_()), ("apart", pa.bool_()), ("cut", pa.bool_())]
+        [("src", pa.string()), ("row_id", pa.int64()), ("kind", pa.string()), ("book", pa.string()), ("place", pa.string()), ("page", pa.string()), ("line", pa.int32()),
+         ("a", pa.string()), ("b", pa.string()), ("c", pa.string()), ("decorated", pa.bool_()), ("apart", pa.bool_()), ("cut", pa.bool_())]
     )
 
     def make() -> Callable:
-        known = worker_forms(shared)
+        known = shared.value
 
         def one(c: dict[str, list]) -> dict[str, list]:
             rows = []
             for src, i, book, place, page, text in zip(c["src"], c["row_id"], c["book"], c["place"], c["page"], c["text"], strict=True):
-                folded = prepare(text)
-                h = ("\n" in text or "\r" in text) and broken(folded, known)
-                m = bool(misread(folded, known))
-                if h or m:
-                    rows.append((src, i, None, None, None, None, h, m, None, None, None, None, None))
+                body, breaks = whole_words(text)
+                for a, mark, b in dict.fromkeys(breaks):
+                    rows.append((src, i, "break", None, None, None, None, a, mark, b, None, None, None))
+                found = TOKEN.findall(body)
+                # Words of a clean page are known as they stand, but for first words of sentences and names.
+                odd = [k for k, w in enumerate(found) if w not in known and w.lower() not in known and len(w) > 1 and not w.isdigit()]
+                for a, w, b in dict.fromkeys((found[k - 1] if k else "", found[k], found[k + 1] if k + 1 < len(found) else "") for k in odd):
+                    rows.append((src, i, "word", None, None, None, None, a, w, b, None, None, None))
                 for line, title, number, decorated, apart, cut in outer_lines(text):
-                    rows.append((src, i, book, place, page, line, False, False, title, number, decorated, apart, cut))
+                    rows.append((src, i, "line", book, place, page, line, title, number, None, decorated, apart, cut))
             return {n: [r[k] for r in rows] for k, n in enumerate(schema.names)}
 
         return one
 
-    return map_rows(texts, make, schema, "src string, row_id bigint, book string, place string, page string, line int, hyphen boolean, misread boolean, title string, number string, decorated boolean, apart boolean, cut boolean")
+    return map_rows(texts, make, schema, "src string, row_id bigint, kind string, book string, place string, page string, line int, a string, b string, c string, decorated boolean, apart boolean, cut boolean")
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -401,65 +417,101 @@ def judged_lines(lines: DataFrame, books: DataFrame) -> DataFrame:
     return judged.unionByName(alone.withColumn("pageno", F.coalesce("pageno", F.lit(False))))
 
 
-def noise(inspected: DataFrame, books: DataFrame) -> DataFrame:
+def parts_of(inspected: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The words, breaks and lines of ``inspect``."""
+    words = inspected.filter("kind = 'word'").select("src", "row_id", F.col("a").alias("before"), F.col("b").alias("word"), F.col("c").alias("after"))
+    breaks = inspected.filter("kind = 'break'").select("src", "row_id", "a", F.col("b").alias("mark"), F.col("c").alias("b"))
+    lines = inspected.filter("kind = 'line'").select("src", "row_id", "book", "place", "page", "line", F.col("a").alias("title"), F.col("b").alias("number"), "decorated", "apart", "cut")
+    return words, breaks, lines
+
+
+def noise(inspected: DataFrame, stats: DataFrame, books: DataFrame) -> DataFrame:
     """(src, row_id, noise): the kinds of noise of each text."""
-    words = inspected.filter("line IS NULL").select("src", "row_id", F.explode(F.filter(F.array(F.when(F.col("hyphen"), F.lit("hyphen")), F.when(F.col("misread"), F.lit("misread"))), lambda x: x.isNotNull())).alias("noise"))
-    lines = judged_lines(inspected.filter("line IS NOT NULL"), books)
-    outer = lines.filter("header OR pageno").select("src", "row_id", F.explode(F.filter(F.array(F.when(F.col("header"), F.lit("header")), F.when(F.col("pageno"), F.lit("pageno"))), lambda x: x.isNotNull())).alias("noise")).distinct()
-    return words.unionByName(outer)
+    words, breaks, lines = parts_of(inspected)
+    of = lambda df, kind: df.select("src", "row_id", F.lit(kind).alias("noise"))
+    outer = judged_lines(lines, books).filter("header OR pageno")
+    outer = outer.select("src", "row_id", F.explode(F.filter(F.array(F.when(F.col("header"), F.lit("header")), F.when(F.col("pageno"), F.lit("pageno"))), lambda x: x.isNotNull())).alias("noise"))
+    return of(misread(words, stats), "misread").unionByName(of(compounds(breaks, stats).filter("NOT natural"), "hyphen")).unionByName(outer).distinct()
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kinds of noise of every page and chunk."""
-    from .common import shared_checkpoint
-
     texts = sources(spark, sf_dir)
-    inspected = shared_checkpoint(inspect(texts, learn(texts)))
-    return noise(inspected, registry(spark, sf_dir))
+    stats = learn(texts)
+    return noise(shared_checkpoint(inspect(texts, sure_forms(stats))), stats, registry(spark, sf_dir))
+
+
+_KEEPS_LINE = re.compile(r"(?:[-*•–·▪◦]|\(?\d{1,3}[.)]|\(?[a-zA-Zأ-ي][.)])\s+\S|#{1,6}\s|\d+(?:\.\d+)+\s|[|]")
+
+
+def stands_alone(line: str) -> bool:
+    """Does a line keep its own line: a list's item, a numbered heading, a row of a table or of numbers?"""
+    return bool(_KEEPS_LINE.match(line) or line.count("|") > 1 or _NUMERIC.fullmatch(line) or "\t" in line)
 
 
-def repaired(texts: DataFrame, forms: Forms, books: DataFrame) -> DataFrame:
+def mended(line: str, repairs: dict[str, str]) -> str:
+    """A line with its spoilt words by what was meant, in the case they had; words are compared as they were judged."""
+    if not repairs:
+        return line
+
+    def one(m: re.Match) -> str:
+        right = repairs.get(prepare(m[0]).lower())
+        return m[0] if right is None else right.upper() if m[0].isupper() and len(m[0]) > 1 else right[:1].upper() + right[1:] if m[0][:1].isupper() else right
+
+    line = TOKEN.sub(one, line)
+    for wrong, right in repairs.items():
+        if " " in wrong:
+            a, b = wrong.split(" ", 1)
+            line = re.sub(rf"(?<!\w){re.escape(a)}\s+{re.escape(b)}(?!\w)", lambda m, right=right: right[:1].upper() + right[1:] if m[0][:1].isupper() else right, line, flags=re.I)
+    return line
+
+
+def repaired(texts: DataFrame, stats: DataFrame, books: DataFrame) -> DataFrame:
     """(src, row_id, text): the texts with noise as continuous paragraphs.
 
     Words are repaired text by text; lines are put together by windows over (src, row_id):
-    ``lead`` tells whether a word goes on in the next line and where a paragraph ends.
+    ``lead`` tells whether a word goes on in the next line and where a paragraph ends.  A
+    natural compound keeps its hyphen.
     """
-    from .common import shared_checkpoint
-
-    inspected = shared_checkpoint(inspect(texts, forms))
-    dropped = judged_lines(inspected.filter("line IS NOT NULL"), books).filter("header OR pageno").select("src", "row_id", "line").distinct()
-    noisy = inspected.filter("line IS NULL").select("src", "row_id").unionByName(dropped.select("src", "row_id")).distinct()
-    shared = texts.sparkSession.sparkContext.broadcast((forms.words, forms.pairs, forms.compounds))
-    schema = pa.schema([("src", pa.string()), ("row_id", pa.int64()), ("line", pa.int32()), ("part", pa.string())])
+    inspected = shared_checkpoint(inspect(texts, sure_forms(stats)))
+    words, breaks, lines = parts_of(inspected)
+    row = ["src", "row_id"]
+    dropped = judged_lines(lines, books).filter("header OR pageno").select(*row, "line").distinct()
+    split = compounds(breaks, stats)
+    per = lambda df, name, *c: df.groupBy(*row).agg(F.sort_array(F.collect_set(F.struct(*c))).alias(name))
+    wrong = per(misread(words, stats).withColumn("wrong", F.lower("wrong")), "repairs", "wrong", "right")
+    kept = per(split.filter("natural").select(*row, F.lower(F.concat("a", F.lit("-"))).alias("x"), F.lower("b").alias("y")), "hyphens", "x", "y")
+    noisy = wrong.select(*row).unionByName(split.filter("NOT natural").select(*row)).unionByName(dropped.select(*row)).distinct()
+    schema = pa.schema([("src", pa.string()), ("row_id", pa.int64()), ("line", pa.int32()), ("part", pa.string()), ("alone", pa.bool_()), ("long", pa.bool_()), ("hyphened", pa.bool_())])
 
     def make() -> Callable:
-        known = worker_forms(shared)
-
         def one(c: dict[str, list]) -> dict[str, list]:
             rows = []
-            for src, i, text in zip(c["src"], c["row_id"], c["text"], strict=True):
-                found = misread(prepare(text), known, every=True)
-                for line, part in enumerate(text.split("\n")):
-                    for wrong, right in found.items():
-                        if wrong in part:
-                            part = re.sub(rf"(?<!\w){re.escape(wrong)}(?!\w)", right.replace("\\", r"\\"), part)
-                    rows.append((src, i, line, part.strip()))
+            for src, i, text, repairs, hyphens in zip(c["src"], c["row_id"], c["text"], c["repairs"], c["hyphens"], strict=True):
+                found = {r["wrong"]: r["right"] for r in repairs or ()}
+                ends = {(h["x"], h["y"]) for h in hyphens or ()}
+                parts = [x.strip() for x in ordinal_lines(text)]
+                widest = max(map(len, parts))
+                for line, part in enumerate(parts):
+                    after = parts[line + 1] if line + 1 < len(parts) else ""
+                    last, first = part.rsplit(None, 1)[-1:] or [""], after.split(None, 1)[:1] or [""]
+                    rows.append((src, i, line, mended(part, found), stands_alone(part), 5 * len(part) > 3 * widest, any(last[0].lower().endswith(x) and first[0].lower().startswith(y) for x, y in ends)))
             return {n: [r[k] for r in rows] for k, n in enumerate(schema.names)}
 
         return one
 
-    lines = map_rows(texts.join(noisy, ["src", "row_id"], "left_semi").select("src", "row_id", "text"), make, schema, "src string, row_id bigint, line int, part string")
-    kept = lines.join(dropped, ["src", "row_id", "line"], "left_anti")
-    w = Window.partitionBy("src", "row_id").orderBy("line")
-    after, part = F.lead("part").over(w), F.col("part")
-    goes_on = part.rlike(rf"[\p{{L}}@!][{re.escape(HYPHEN_MARKS)}]$") & F.col("after").rlike(r"^[\p{Ll}\p{Lo}@!]")
-    glued = (
-        kept.withColumn("after", after)
-        .withColumn("goes_on", F.coalesce(goes_on, F.lit(False)))
-        .withColumn("piece", F.when(F.col("goes_on"), part.substr(F.lit(1), F.length("part") - 1)).when((part == "") | (F.coalesce(F.col("after"), F.lit("")) == ""), F.concat(part, F.lit("\n"))).otherwise(F.concat(part, F.lit(" "))))
-    )
-    whole = glued.groupBy("src", "row_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "piece"))), lambda x: x["piece"]), "").alias("text"))
-    return whole.withColumn("text", F.regexp_replace(F.regexp_replace("text", r"\n\s*\n+", "\n\n"), r"^\s+|\s+$", ""))
+    whole_texts = texts.select(*row, "text").join(noisy, row).join(wrong, row, "left").join(kept, row, "left")
+    lines = map_rows(whole_texts, make, schema, "src string, row_id bigint, line int, part string, alone boolean, long boolean, hyphened boolean")
+    left = lines.join(dropped, [*row, "line"], "left_anti")
+    w = Window.partitionBy(*row).orderBy("line")
+    part, after = F.col("part"), F.col("after")
+    # A word goes on in the next line; else lines of a paragraph are joined, but for short ones that end a sentence or stand alone.
+    goes_on = F.coalesce(part.rlike(rf"[\p{{L}}@!|¤§][{re.escape(HYPHEN_MARKS)}]$") & after.rlike(r"^[\p{L}@!|¤§]"), F.lit(False))
+    ends = (part == "") | (F.coalesce(after, F.lit("")) == "") | F.col("alone") | F.coalesce(F.col("next_alone"), F.lit(False)) | (~F.col("long") & part.rlike(r"[.!?؟:]$"))
+    piece = F.when(goes_on & F.col("hyphened"), part).when(goes_on, part.substr(F.lit(1), F.length("part") - 1)).when(ends, F.concat(part, F.lit("\n"))).otherwise(F.concat(part, F.lit(" ")))
+    glued = left.withColumn("after", F.lead("part").over(w)).withColumn("next_alone", F.lead("alone").over(w)).withColumn("piece", piece)
+    out = glued.groupBy(*row).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "piece"))), lambda x: x["piece"]), "").alias("text"))
+    return out.withColumn("text", F.regexp_replace(F.regexp_replace("text", r"\n\s*\n+", "\n\n"), r"^\s+|\s+$", ""))
 
 
 def p1_text(spark: SparkSession, sf_dir: str) -> DataFrame:
