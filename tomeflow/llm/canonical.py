@@ -8,8 +8,8 @@ frequent becomes the canonical spelling; tokens that reach none are normalized b
 
 Words that reach each other at no cost have one skeleton (ignorables dropped, every
 character by its look-alike class), so the vocabulary and the odd tokens are partitioned by
-a hash of the skeleton, and every partition builds the trie of its own words: no vocabulary
-is collected or broadcast.  Word counts are taken over all rows and pre-aggregated in the
+a hash of the skeleton and sorted by it, and a task holds the trie of one skeleton at a time:
+no vocabulary is collected or broadcast.  Word counts are taken over all rows and pre-aggregated in the
 tasks before they are shuffled.
 
 Null values give no row; empty and blank ones only if they hold a space or an invisible
@@ -233,24 +233,26 @@ def census(values: DataFrame) -> DataFrame:
 def canonical_forms(counted: DataFrame) -> DataFrame:
     """(form, kind, canonical, origin) of every distinct odd token of a census."""
     total = counted.filter("row_id IS NULL").groupBy("skeleton", "form", "kind").agg(F.sum("n").alias("n"))
-    # A word seen once could itself be a slip; odd tokens stay in any case.
+    # A word seen once could itself be a slip, so it is no canonical spelling; odd tokens stay in any case.
     useful = total.filter("kind IS NOT NULL OR n > 1")
-    parts = useful.repartition(F.col("skeleton"))
+    # Clean words come before the odd ones of their skeleton, so the trie is whole when those are run through it.
+    parts = useful.repartition(F.col("skeleton")).sortWithinPartitions("skeleton", F.col("kind").isNotNull(), "form")
     schema = pa.schema([("form", pa.string()), ("kind", pa.string()), ("canonical", pa.string()), ("origin", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, waiting = Trie(), []
+        current, trie = None, Trie()
         for batch in batches:
-            for form, kind, n in zip(*(batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("form", "kind", "n")), strict=True):
+            got = []
+            for sk, form, kind, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if sk != current:
+                    current, trie = sk, Trie()
                 if kind is None:
                     trie.add(form, n)
                 else:
-                    waiting.append((form, kind))
-        for i in range(0, len(waiting), 10_000):
-            got = [(f, k, *canonical_of(f, k, trie)) for f, k in waiting[i : i + 10_000]]
+                    got.append((form, kind, *canonical_of(form, kind, trie)))
             yield pa.RecordBatch.from_pydict({name: [r[j] for r in got] for j, name in enumerate(schema.names)}, schema=schema)
 
-    return parts.select("form", "kind", "n").mapInArrow(run, "form string, kind string, canonical string, origin string")
+    return parts.select("skeleton", "form", "kind", "n").mapInArrow(run, "form string, kind string, canonical string, origin string")
 
 
 def field_values(df: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
@@ -270,13 +272,11 @@ def inconsistent(values: DataFrame) -> DataFrame:
 
 
 def consistent_text(text: str | None, forms: dict[str, str] | None) -> str | None:
-    """A text with the canonical spellings of its odd tokens, and the table for all else."""
+    """A text with the canonical spellings of its odd tokens, and the table for all else.  Only whole tokens are replaced."""
     if text is None:
         return None
-    for form in sorted(forms or {}, key=len, reverse=True):
-        if len(form) > 1 or form not in text.translate({ord(c): None for c in SPACES}):
-            text = text.replace(form, forms[form])
-    return plain_forms(text)
+    known = forms or {}
+    return plain_forms(_WORDLY.sub(lambda m: known.get(m[0], m[0]), text))
 
 
 def chunk_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,12 +292,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every value that changes, in its consistent form."""
     values = chunk_values(spark, sf_dir)
-    forms = inconsistent(values).groupBy("row_id", "field").agg(F.map_from_entries(F.collect_set(F.struct("form", "canonical"))).alias("forms"))
+    forms = inconsistent(values).groupBy("row_id", "field").agg(F.sort_array(F.collect_set(F.struct("form", "canonical"))).alias("forms"))
     schema = pa.schema([("row_id", pa.int64()), ("field", pa.string()), ("value", pa.string())])
 
     def make() -> Callable:
         def one(c: dict[str, list]) -> dict[str, list]:
-            return {"row_id": c["row_id"], "field": c["field"], "value": [consistent_text(v, dict(f)) for v, f in zip(c["value"], c["forms"], strict=True)]}
+            return {"row_id": c["row_id"], "field": c["field"], "value": [consistent_text(v, {x["form"]: x["canonical"] for x in f}) for v, f in zip(c["value"], c["forms"], strict=True)]}
 
         return one
 
