@@ -8,20 +8,25 @@ So a pair at ``THRESHOLD`` has a weighted Jaccard similarity of at least
 0.85 / (0.85 + 0.3 * HEAVIEST) = 0.730, at which the bands find it with 0.990.  ``SAMPLES`` consistent samples of the weighted bag are drawn (two texts
 agree in one with the probability of their weighted Jaccard similarity) and banded by
 ``ROWS``; texts that share a band are candidates, but for those whose parity sketches differ in
-more bits than the bags of a similar pair can differ in words (this loses none).  Each candidate pair is verified on its
-whole bags (as sets of 32-bit hashes of word and occurrence): the weighted Jaccard similarity
-of the counts and the share of common words in the longer text, which TESTDATA.md asks for.
+more bits than the bags of a similar pair can differ in words (this loses none).  Each
+candidate pair is verified by the weighted Jaccard similarity of its whole TF-IDF bags: a pair
+below the least one that a pair at ``THRESHOLD`` can have is rejected.  Of the rest the share
+of common words in the longer text is taken, which TESTDATA.md asks for.
 
 Document frequencies are counted over all texts.  Those of words in fewer than ``RARE`` of
 the texts are not shipped to the workers: they get the weight of that share, so the table of
-weights never has more than (words a text) / RARE entries.  As rare words all weigh the same,
-their random variables come from a pool of ``POOL`` rows by the word's hash; the samples
-themselves name the word, so words of one pool row are not confused.
+weights has at most (words a text) / RARE entries.  Where texts are so long that these are
+more than ``TABLE``, the share is raised until they fit; as all weights lie in 1 ...
+``HEAVIEST``, what a pair at the threshold has in common, and by that the chance to find it,
+stays the same.  As rare words all weigh the same, their random variables come from a pool
+of ``POOL`` rows by the word's hash; the samples themselves name the word, so words of one
+pool row are not confused.
 
 Hot groups: texts with the same bag are one class, so copies cost one representative, not
-pairs; members come back by a join when pairs are asked for.  Band keys that many classes
-share are joined without collecting a group; the pairs stream through a sort-merge join that
-AQE splits by size.  Nothing is capped.
+pairs; members come back by a join when pairs are asked for.  Bands that very many classes
+share are found on a sample of the classes and split into blocks, each of which meets the
+whole band in a task of its own; the pairs stream through the join.  The sample decides only
+where the work is done.  Nothing is capped.
 
 Null texts and texts without words give no row.  Ties and repeated rows fall into one class.
 """
@@ -37,7 +42,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import CACHE, Counts, bounded_rows, map_rows, shared_checkpoint, table
@@ -49,6 +54,12 @@ RARE = 1e-3
 HEAVIEST = 1.05
 SKETCH = 128
 POOL = 4096
+TABLE = 2_000_000
+#: Classes of a block of a hot band; one class in SAMPLED is looked at to find such bands.
+BLOCK, SAMPLED = 4096, 64
+#: An occurrence is a 32-bit hash whose last LEVEL_BITS hold the word's weight in steps.
+LEVEL_BITS = 4
+LEVELS = (1 << LEVEL_BITS) - 1
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -87,6 +98,9 @@ class Sampler:
 
     def __init__(self, weights: dict[str, float], rare: float, samples: int = SAMPLES) -> None:
         self.weights, self.rare, self.samples = weights, rare, samples
+        step = lambda w: round((w - 1) / (HEAVIEST - 1) * LEVELS)
+        self.level = {w: step(x) for w, x in weights.items()}
+        self.rare_level = step(rare)
         self.rank = np.empty((POOL + 1024, samples), np.float32)  # -ln a: the largest is drawn
         self.step = np.empty((POOL + 1024, samples), np.int16)  # t of each sample
         for k in range(POOL):
@@ -132,15 +146,17 @@ class Sampler:
         return got
 
     def bag(self, found: list[str]) -> tuple[dict[str, int], list[int], list[int]]:
-        """Counts, the hashes of the distinct words, and a 32-bit hash of every (word, occurrence)."""
+        """Counts, the hashes of the distinct words, and every (word, occurrence) as a hash with the word's weight."""
         bag: dict[str, int] = {}
         for w in found:
             bag[w] = bag.get(w, 0) + 1
         hashes = [self.word_hash(w) for w in bag]
-        occurrences = [(h >> 32) - (1 << 31) for h in hashes]
-        for (_, n), h in zip(bag.items(), hashes, strict=True):
-            for k in range(1, n):
-                occurrences.append(((h * (2 * k + 1) >> 32) & 0xFFFFFFFF) - (1 << 31))
+        levels = [self.level.get(w, self.rare_level) for w in bag]
+        occurrences = [((h >> 32) & ~LEVELS | x) - (1 << 31) for h, x in zip(hashes, levels, strict=True)]
+        if len(found) > len(bag):
+            for (_, n), h, x in zip(bag.items(), hashes, levels, strict=True):
+                for k in range(1, n):
+                    occurrences.append(((h * (2 * k + 1) >> 32) & 0xFFFFFFFF & ~LEVELS | x) - (1 << 31))
         return bag, hashes, occurrences
 
     def bands(self, bag: dict[str, int], hashes: list[int]) -> list[int]:
@@ -161,7 +177,7 @@ class Sampler:
 
 def sketch(occurrences: list[int]) -> tuple[int, int]:
     """Parities of the number of words in ``SKETCH`` buckets: a word more or less changes one bit, so bags differ in at least as many words as sketches in bits."""
-    parity = np.bincount(np.array(occurrences) & (SKETCH - 1), minlength=SKETCH) & 1
+    parity = np.bincount((np.array(occurrences) >> LEVEL_BITS) & (SKETCH - 1), minlength=SKETCH) & 1
     return tuple(np.packbits(parity.astype(np.uint8)).view(np.int64).tolist())
 
 
@@ -213,38 +229,61 @@ def signatures(texts: DataFrame, weights: dict[str, float], rare: float) -> Data
     return map_rows(texts.select("chunk_id", "text"), make, schema, "bag bigint, chunk_id string, size int, words array<int>, bands array<bigint>, s0 bigint, s1 bigint")
 
 
+def weight(occurrences: Column) -> Column:
+    """The weight of a bag (an array of occurrences)."""
+    levels = F.aggregate(occurrences, F.lit(0), lambda total, x: total + x.bitwiseAND(F.lit(LEVELS)))
+    return F.size(occurrences) + levels * F.lit((HEAVIEST - 1) / LEVELS)
+
+
+def banded(reps: DataFrame) -> DataFrame:
+    """(band, block, own, bag, size, s0, s1): the classes of each band, once a block of it; ``own`` in the block that the class itself belongs to."""
+    keys = reps.select(F.explode("bands").alias("band"), "bag", "size", "s0", "s1")
+    hot = (
+        reps.filter(F.pmod("bag", F.lit(SAMPLED)) == 0).select(F.explode("bands").alias("band")).groupBy("band").agg((F.count(F.lit(1)) * SAMPLED).alias("n"))
+        .filter(F.col("n") > BLOCK).select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    )
+    split = keys.join(hot, "band", "left").withColumn("mine", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("bag"), F.col("blocks")).cast("int")))
+    blocks = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    return split.select("band", "bag", "size", "s0", "s1", "mine", F.explode(blocks).alias("block")).select("band", "block", (F.col("block") == F.col("mine")).alias("own"), "bag", "size", "s0", "s1")
+
+
 def similar_classes(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, similarity, jaccard): pairs of classes whose share of common words in the longer text is at least ``threshold``.
+    """(a, b, similarity, jaccard): pairs of classes with enough weight in common whose share of common words in the longer text is at least ``threshold``.
 
     Class members have the same bag and bands, so one of them stands for all.
     """
     reps = signed.filter("bands IS NOT NULL")
-    # One exchange by band serves the distinct and both sides of the join.
-    keys = reps.select(F.explode("bands").alias("band"), "bag", "size", "s0", "s1").repartition("band").dropDuplicates(["band", "bag"])
-    a, b = keys.alias("a"), keys.alias("b")
+    # One exchange by band and block serves the distinct and both sides of the join.
+    keys = banded(reps).repartition("band", "block").dropDuplicates(["band", "block", "bag"])
+    a, b = keys.filter("own").alias("a"), keys.alias("b")
+    # In a pair within one block each is the other's own; across blocks the one of the smaller bag leads.
     close = (F.col("a.bag") < F.col("b.bag")) & (F.least("a.size", "b.size") >= F.lit(threshold) * F.greatest("a.size", "b.size"))
     bits = F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))) + F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1")))
     close &= bits <= F.col("a.size") + F.col("b.size") - F.lit(2 * threshold) * F.greatest("a.size", "b.size") + F.lit(1e-6)
-    pairs = a.join(b, F.col("a.band") == F.col("b.band")).filter(close).select(F.col("a.bag").alias("a"), F.col("b.bag").alias("b")).distinct()
+    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.block") == F.col("b.block"))).filter(close).select(F.col("a.bag").alias("a"), F.col("b.bag").alias("b")).distinct()
     bags = reps.select("bag", "size", "words").repartition("bag").dropDuplicates(["bag"])
     left = bags.select(F.col("bag").alias("a"), F.col("size").alias("n_a"), F.col("words").alias("w_a"))
     right = bags.select(F.col("bag").alias("b"), F.col("size").alias("n_b"), F.col("words").alias("w_b"))
-    common = F.size(F.array_intersect("w_a", "w_b"))
+    least = threshold / (threshold + 2 * (1 - threshold) * HEAVIEST)  # that a pair at the threshold can have
+    shared = weight(F.col("both"))
+    jaccard = shared / (weight(F.col("w_a")) + weight(F.col("w_b")) - shared)
     return (
-        pairs.join(left, "a").join(right, "b").withColumn("common", common)
-        .select("a", "b", (F.col("common") / F.greatest("n_a", "n_b")).alias("similarity"), (F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("jaccard"))
-        # similarity s means a Jaccard similarity of s / (2 - s) at least
-        .filter((F.col("jaccard") >= threshold / (2 - threshold) - 1e-9) & (F.col("similarity") >= threshold))
+        pairs.join(left, "a").join(right, "b").withColumn("both", F.array_intersect("w_a", "w_b"))
+        .select("a", "b", (F.size("both") / F.greatest("n_a", "n_b")).alias("similarity"), jaccard.alias("jaccard"))
+        .filter(F.col("jaccard") >= least - 1e-9).filter(F.col("similarity") >= threshold)
     )
 
 
 def sign(texts: DataFrame) -> DataFrame:
     """Signatures of all texts with IDF weights counted over all of them, written to the shared checkpoint."""
-    frequencies = document_frequencies(texts).filter("n > 1")
+    frequencies = shared_checkpoint(document_frequencies(texts).filter("n > 1"))
     total = frequencies.filter("word = ''").select("n").first()
     n = total["n"] if total else 1
     floor = max(2, math.ceil(n * RARE))
-    common = bounded_rows(frequencies.filter((F.col("n") >= floor) & (F.col("word") != "")), 2_000_000)
+    known = frequencies.filter("word <> ''")
+    while known.filter(F.col("n") >= floor).count() > TABLE:  # texts of very many different words
+        floor *= 2
+    common = bounded_rows(known.filter(F.col("n") >= floor), TABLE)
     weigh = lambda df: 1 + (HEAVIEST - 1) * math.log(n / df) / math.log(n / floor) if n > floor else 1.0
     return shared_checkpoint(signatures(texts, {r["word"]: weigh(r["n"]) for r in common}, weigh(floor)))
 
@@ -259,11 +298,12 @@ def similar_pairs(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return across.unionByName(within).filter("x != y").select(F.least("x", "y").alias("chunk_id_a"), F.greatest("x", "y").alias("chunk_id_b")).distinct()
 
 
-def groups(texts: DataFrame, threshold: float = THRESHOLD, rounds: int = 30) -> DataFrame:
-    """(chunk_id, class_id, group_id, links): one row for each id and class; groups are the connected classes.
+def groups(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(chunk_id, class_id, group_id, links, members): one row for each id and class; groups are the connected classes.
 
-    Labels spread to neighbours and neighbours' labels until none changes; every round is
-    checkpointed, only the number of changes reaches the driver.
+    ``links``: similar classes; ``members``: ids of the class.  Labels spread to neighbours and
+    neighbours' labels until none changes; every round is checkpointed, only whether a label
+    changed reaches the driver.  A label only ever falls, so the rounds end.
     """
     signed = sign(texts)
     members = signed.select("bag", "chunk_id").distinct()
@@ -271,20 +311,19 @@ def groups(texts: DataFrame, threshold: float = THRESHOLD, rounds: int = 30) ->
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("links"))
     labels = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
-    for _ in range(rounds):
+    changed = True
+    while changed:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low"))
         step = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("low", "label")).alias("label"))
         hop = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
         step = shared_checkpoint(step.join(hop, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
         labels = step.select("node", "label")
-        if step.filter("old <> label").isEmpty():
-            break
-    else:
-        raise RuntimeError("groups did not settle; raise rounds")
-    return (
-        members.join(labels.withColumnRenamed("node", "bag"), "bag", "left").join(degree.withColumnRenamed("a", "bag"), "bag", "left")
-        .select("chunk_id", F.col("bag").alias("class_id"), F.coalesce("label", "bag").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    )
+        changed = not step.filter("old <> label").isEmpty()
+    sizes = members.groupBy("bag").agg(F.count(F.lit(1)).alias("members"))
+    classes = sizes.join(labels.withColumnRenamed("node", "bag"), "bag", "left").join(degree.withColumnRenamed("a", "bag"), "bag", "left")
+    return members.join(classes, "bag").select(
+        "chunk_id", F.col("bag").alias("class_id"), F.coalesce("label", "bag").alias("group_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"), "members"
+    )
 
 
 def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
