@@ -4,10 +4,15 @@
 over character n-grams are compared; a pair is defective if they hardly agree and the prompt
 does not ask for the response's language.  ``truncated``: the likelihood that a text ends
 after its last words (backing off to the last word, then to the last characters), from
-counts over all prompts and responses, against the likelihood that it goes on.
+counts over all prompts and responses, together with the likelihood that a text of its shape
+(a short answer, a list, running text) ends without a stop.  Only what breaks off by itself
+(an open bracket, a dangling sign, a bare list mark) needs no likelihood.
 ``empty``, ``refusal`` and ``copy`` are read off the response after labels, markup and
 courtesies are taken away.
 
+Contexts are counted over all rows, whatever their number, and the counts are joined to the
+undecided responses; they are neither cut off at a share nor shipped to the workers.
+
 Null responses are 'empty'; a null prompt gives neither 'copy' nor 'other_language'.  Rows
 recorded twice are judged twice.  One row for each defect; a sound pair gives none.
 """
@@ -15,7 +20,6 @@ recorded twice are judged twice.  One row for each defect; a sound pair gives no
 from __future__ import annotations
 
 import json
-import math
 import re
 from collections import Counter
 from collections.abc import Callable
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHE, Counts, frequent, map_rows, table
+from .common import CACHE, Counts, map_rows, table
 from .language import LANGS, SEED, labelled_sample, wordy
 from .lookalikes import bare
 
@@ -33,8 +37,9 @@ from .lookalikes import bare
 SAMPLE, ORDER = 3000, 3
 #: A pair is in two languages if their posteriors agree by less than this.
 AGREE = 0.05
-#: Share of all contexts that one needs to be shipped to the workers.
-SHARE = 4e-6
+#: Times that a context must have been met to be relied on; log-odds below which a text was cut,
+#: and the weight of what its shape says.
+MET, CUT, SHAPE = 15, -5.8, 2.0
 
 WORD = re.compile(r"[^\W_]+(?:['’‌][^\W_]+)*")
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -267,22 +272,21 @@ _MARKER = re.compile(r"(?:[-*•–]|\(?\d{1,2}[.)]|\(?[a-z][.)])")
 _ITEM = re.compile(r"^\s*(?:[-*•–]|\(?\d{1,2}[.)-]|\(?[a-z][.)])\s+\S")
 
 
-class Endings:
-    """How likely texts end after their last words, from counts (context -> ended, went on)."""
+def last_contexts(text: str) -> list[str]:
+    """What the end of a text is judged by, the most telling first: the last two words, the last one, its last four characters (the blank before a short one counts)."""
+    found = plain_words(text[-120:])
+    if not found:
+        return []
+    return [*([f"2 {' '.join(found[-2:])}"] if len(found) > 1 else []), f"1 {found[-1]}", f"c {(' ' + found[-1])[-4:]}"]
 
-    def __init__(self, ended: dict[str, tuple[int, int]]) -> None:
-        self.ended = ended
 
-    def odds(self, text: str) -> float:
-        """Log-odds of an end here: of the last two words, else the last word, else the last three characters."""
-        found = plain_words(text[-120:])
-        if not found:
-            return 0.0
-        for key in (f"2 {' '.join(found[-2:])}" if len(found) > 1 else "", f"1 {found[-1]}", f"c {(' ' + found[-1])[-3:]}"):
-            got = self.ended.get(key)
-            if key and got and sum(got) >= 3:
-                return math.log((got[0] + 0.2) / (got[1] + 0.2))
-        return -9.0
+def shape(text: str) -> str:
+    """What kind of text it is: a list's item, a few words, a sentence or more."""
+    last = text.split("\n")[-1].strip()
+    if _ITEM.match(last):
+        first = LETTERS.findall(re.sub(r"^\s*(?:[-*•–]|\(?\d{1,2}[.)-])\s+", "", last))
+        return "item" if len(first) < 8 else "sentence"
+    return "item" if unmarked_list(text) else "short" if len(plain_words(text)) <= 6 and "\n" not in text else "sentence"
 
 
 _CLOSES = set(".!?؟؛:,،")
@@ -300,7 +304,7 @@ def contexts(text: str) -> list[tuple[str, bool]]:
             end = tail not in ("", " ") and not _CLOSES.isdisjoint(tail)
             if end or i < last:
                 out.append((f"1 {w}", end))
-                out.append((f"c {(' ' + w)[-3:]}", end))
+                out.append((f"c {(' ' + w)[-4:]}", end))
                 if before:
                     out.append((f"2 {before} {w}", end))
             before = w
@@ -315,8 +319,8 @@ def unmarked_list(text: str) -> bool:
     return len(lines) > 2 and all(len(plain_words(x)) < 8 and x[-1] not in _CLOSES for x in lines)
 
 
-def is_truncated(answer: str, endings: Endings) -> bool:
-    """It breaks off inside a sentence, word, bracket or list."""
+def is_truncated(answer: str) -> bool | None:
+    """Does it break off inside a sentence, word, bracket or list?  None: the likelihood of an end after its last words tells."""
     text = answer.rstrip()
     text = re.sub(r"[​-‏⁠﻿]+$", "", text).rstrip()
     if not text:
@@ -328,32 +332,24 @@ def is_truncated(answer: str, endings: Endings) -> bool:
         return len(plain_words(text)) > 1
     if _MARKER.fullmatch(last) and "\n" in text:
         return True
-    opened = text.count("(") - text.count(")") + text.count("[") - text.count("]") + text.count("“") + text.count("„") * 0 - text.count("”")
     if text.count("(") > text.count(")") or text.count("[") > text.count("]") or text.count("«") > text.count("»"):
         return True
-    if opened < 0 and not _STOP.search(text):
-        pass
     if _STOP.search(text):
         return bool(re.search(r"(?:^|\s)\d{1,2}[.)]$", text) and "\n" in text and not re.search(r"\d{1,2}[.)]\s*$", text.split("\n")[0]))
     if text[-1] in ",;:،؛=+×÷/−–—-&(" or re.search(r"\s[+*<>]$", text):
         return True
-    words_ = LETTERS.findall(bare(last))
-    if not wordy(last, words_):
+    if not wordy(last, LETTERS.findall(bare(last))):
         return False  # a number, a formula or a symbol
     if "|" in last or last.endswith((")", "]", "}", ">", "`", "%", "°")):
         return False
-    odds = endings.odds(text)
-    item = _ITEM.match(last)
-    body = re.sub(r"^\s*(?:[-*•–]|\(?\d{1,2}[.)-])\s+", "", last)
-    if item or unmarked_list(text) or len(plain_words(text)) <= 6 and "\n" not in text:
-        first = LETTERS.findall(body)
-        return odds < (-3.7 if len(first) < 8 else 0.5)
-    # Running text without a stop: a sentence that was cut.  The odds are no help: a word cut short may end like those that close sentences.
-    return True
+    return None
 
 
 def end_counts(pairs: DataFrame) -> DataFrame:
-    """(context, ended, went_on) over all prompts and responses, added up in the tasks first."""
+    """(context, ended, went_on) over all prompts and responses, added up in the tasks first.
+
+    The context 's' and a shape counts texts of that shape: ended without a stop, and with one.
+    """
     schema = pa.schema([("context", pa.string()), ("ended", pa.int64()), ("went_on", pa.int64())])
 
     def make() -> Callable:
@@ -370,6 +366,9 @@ def end_counts(pairs: DataFrame) -> DataFrame:
                 for t in (q, a):
                     if t:
                         counts.add(contexts(t))
+                        whole = t.rstrip()
+                        if whole:
+                            counts.add([(f"s {shape(whole)}", not _STOP.search(whole))])
             return rows() if counts.full else None
 
         return one
@@ -383,45 +382,63 @@ def defects(pairs: DataFrame, labelled: DataFrame | None = None, key: str = "tur
     from .common import shared_checkpoint
 
     spark = pairs.sparkSession
-    counted = shared_checkpoint(end_counts(pairs).withColumn("n", F.col("ended") + F.col("went_on")).filter("n > 2"))
-    known, _ = frequent(counted, ["context", "ended", "went_on"], "n", SHARE, 3)
     texts = list(SEED.items()) + (labelled_sample(labelled, "doc_id", "text", "lang", SAMPLE) if labelled is not None else [])
-    shared = spark.sparkContext.broadcast(({r["context"]: (r["ended"], r["went_on"]) for r in known}, CharBayes(texts)))
-    schema = pa.schema([(key, pa.int64()), ("defect", pa.string())])
+    shared = spark.sparkContext.broadcast(CharBayes(texts))
+    schema = pa.schema([(key, pa.int64()), ("defect", pa.string()), ("contexts", pa.list_(pa.string()))])
 
     def make() -> Callable:
-        ended, model = shared.value
-        endings = Endings(ended)
+        model = shared.value
 
         def one(c: dict[str, list]) -> dict[str, list]:
-            ids, kinds = [], []
+            ids, kinds, asked = [], [], []
             for i, q, a in zip(c[key], c["query"], c["answer"], strict=True):
-                for kind in pair_defects(q, a, endings, model):
+                found, undecided = pair_defects(q, a, model)
+                for kind in found:
                     ids.append(i)
                     kinds.append(kind)
-            return {key: ids, "defect": kinds}
+                    asked.append(None)
+                if undecided:
+                    ids.append(i)
+                    kinds.append("truncated")
+                    asked.append(undecided)
+            return {key: ids, "defect": kinds, "contexts": asked}
 
         return one
 
-    return map_rows(pairs.select(key, "query", "answer"), make, schema, f"{key} bigint, defect string")
-
-
-def pair_defects(query: str | None, answer: str | None, endings: Endings, model: CharBayes) -> list[str]:
-    """All defects of one pair."""
+    judged = shared_checkpoint(map_rows(pairs.select(key, "query", "answer"), make, schema, f"{key} bigint, defect string, contexts array<string>"))
+    undecided = judged.filter("contexts IS NOT NULL").withColumn("row", F.monotonically_increasing_id())
+    counted = end_counts(pairs).filter(F.col("ended") + F.col("went_on") >= MET)
+    log_odds = F.log((F.col("ended") + 0.2) / (F.col("went_on") + 0.2))
+    stopless = F.log((F.col("ended") + 0.2) / (F.col("ended") + F.col("went_on") + 0.4))
+    met = undecided.select("row", key, F.posexplode("contexts").alias("at", "context")).join(counted, "context", "left").groupBy("row", key).agg(
+        F.min(F.when((F.col("at") > 0) & F.col("ended").isNotNull(), F.struct("at", log_odds.alias("odds")))).alias("words"),
+        F.max(F.when(F.col("at") == 0, stopless)).alias("shape"),
+    )
+    score = F.coalesce(F.col("words.odds"), F.lit(-9.0)) + SHAPE * F.coalesce("shape", F.lit(0.0))
+    return judged.filter("contexts IS NULL").select(key, "defect").unionByName(met.filter(score < CUT).select(key, F.lit("truncated").alias("defect")))
+
+
+def pair_defects(query: str | None, answer: str | None, model: CharBayes) -> tuple[list[str], list[str]]:
+    """The defects of one pair, and the contexts (the shape first) that decide whether it was truncated, if nothing else does."""
     if is_empty(answer):
-        return ["empty"]
-    out = []
+        return ["empty"], []
+    out, undecided = [], []
     copy = is_copy(query, answer)
     refusal = not copy and is_refusal(answer)
     if copy:
         out.append("copy")
     if refusal:
         out.append("refusal")
-    if not copy and is_truncated(answer, endings) and not refusal:
-        out.append("truncated")
+    if not copy and not refusal:
+        cut = is_truncated(answer)
+        if cut:
+            out.append("truncated")
+        elif cut is None:
+            text = answer.rstrip()
+            undecided = [f"s {shape(text)}", *last_contexts(text)]
     if not copy and other_language(query, answer, model):
         out.append("other_language")
-    return out
+    return out, undecided
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
