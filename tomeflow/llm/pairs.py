@@ -39,7 +39,7 @@ SAMPLE, ORDER = 3000, 3
 AGREE = 0.05
 #: Times that a context must have been met to be relied on; log-odds below which a text was cut,
 #: and the weight of what its shape says.
-MET, CUT, SHAPE = 15, -5.8, 2.0
+MET, CUT, SHAPE = 15, -5.8, 2.2
 
 WORD = re.compile(r"[^\W_]+(?:['’‌][^\W_]+)*")
 LETTERS = re.compile(r"[^\W\d_]+")
