@@ -362,19 +362,38 @@ def category(model, text):
     return {c for c, s in zip(offence.CATEGORIES, scores, strict=True) if s >= offence.CASE}
 
 
-@pytest.mark.parametrize("text,found", [("You are an idiot and deserve a slap.", {"abusive"}), ("Farmers are vermin and should be driven out of the country.", {"hateful"}), ("Watch naked girls on our porn site.", {"sexual"}), ("Shut up, you m*ron, nobody asked for your answer.", {"abusive"}), ("Sexual reproduction in plants needs pollen.", set()), ("It was stupid of me to forget the unit.", set()), ("The migrants and the old may vote.", set()), ("", set()), (None, set()), ("x " * 5000, set())])
+@pytest.mark.parametrize("text,found", [("You are an idiot and everybody laughs at you.", {"abusive"}), ("Farmers are vermin and should be driven out of the country.", {"hateful"}), ("Watch naked girls on our porn site.", {"sexual"}), ("Shut your mouth, you m*ron.", {"abusive"}), ("Sexual reproduction in plants needs pollen.", set()), ("It was stupid of me to forget the unit.", set()), ("The migrants and the old may vote.", set()), ("", set()), (None, set()), ("x " * 5000, set())])
 def test_offence(filter_model, text, found):
     assert category(filter_model, text) == found
 
 
-def test_groups_alone_change_no_score(filter_model):
-    plain = filter_model.text("The students lived near the river.")
-    assert all(abs(a - b) < 0.2 for g in ("women", "migrants", "the disabled") for a, b in zip(filter_model.text(f"The text tells how {g} lived near the river."), plain, strict=True))
+def test_offences_of_templates_that_were_held_out():
+    recall, precision = offence.held_out()
+    assert recall > 0.7 and precision > 0.85
+
+
+def test_training_sentences_are_not_those_of_the_corpus(sf):
+    """No labelled sentence, whatever fills its slots, is a sentence of the documents."""
+    import pyarrow.parquet as pq
+
+    text = "\n".join(t for t in pq.read_table(f"{sf}/documents.parquet", columns=["text"])["text"].to_pylist() if t)
+    for by in offence.OFFENSIVE.values():
+        for ss in by.values():
+            for s in ss:
+                assert not re.search(r".{1,40}".join(re.escape(x) for x in re.split(r"\{[GI]\}", s)), text), s
+
+
+def test_swapped_groups_change_no_score(filter_model):
+    for frame_ in ("The text tells how {} lived near the river.", "{} are vermin and should be driven out.", "The old law hated {}, and the lesson explains why that was unjust."):
+        scores = [filter_model.text(frame_.format(g)) for g in ("women", "migrants", "the disabled", "bakers", "my neighbours")]
+        assert all(max(x) - min(x) < 0.2 for x in zip(*scores))
 
 
 def test_scores_of_tables(spark):
-    docs = frame(spark, [(1, "You filthy rat!"), (2, None)], "doc_id bigint, text string")
+    docs = frame(spark, [(1, "You filthy idiot!"), (2, None)], "doc_id bigint, text string")
     rows = {r["doc_id"]: r["abusive"] for r in offence.scores(docs, offence.train()).collect()}
+    by = {r["source"]: r for r in offence.rates(frame(spark, [(1, "You filthy idiot!", "a"), (2, None, "a"), (3, "Fine.", None)], "doc_id bigint, text string, source string"), offence.train()).collect()}
+    assert by["a"]["docs"] == 2 and by["a"]["abusive"] == 1 and by["a"]["rate"] == 0.5 and by[None]["rate"] == 0
     assert rows[1] > offence.CASE and rows[2] == 0.0 and offence.scores(docs.limit(0), offence.train()).count() == 0
 
 

@@ -1,144 +1,173 @@
-"""Labelled training sentences of problem 9: fixed values.
+"""Training data of problem 9: fixed values.
 
-``OFFENSIVE``: language -> category -> sentences, ``BENIGN``: sentences that share words with
-them but offend nobody.  {G} stands for a group (``GROUPS``, ``NEUTRAL_GROUPS``), {I} for an
-insult (``INSULTS``), {T} for a topic of a lesson (``TOPICS``).  They are training data for a
-filter; the model is to recognise such text in order to take it out.
+``LEXICON``: class -> words (a trailing * stands for any ending) that an offence may be made
+of, and that ordinary texts use as well; it tells no case by itself.  ``OFFENSIVE`` and
+``BENIGN`` are labelled sentences, written for this module.  {G} stands for a group of people
+(``GROUPS``, ``NEUTRAL_GROUPS``), {I} for an insult (``INSULTS``).  The model is to recognise
+such text in order to take it out.
 """
 
 from __future__ import annotations
 
-TOPICS = {
-    "en": ("the square root", "the food chain", "the opening chapter"),
-    "de": ("das Magnetfeld", "die Glaslinse", "die Nahrungskette"),
-    "fr": ("la racine carrée", "le vieux port", "la chaîne alimentaire"),
-    "es": ("la raíz cuadrada", "el puerto antiguo", "la cadena alimentaria"),
-    "pt": ("a raiz quadrada", "o porto antigo", "a cadeia alimentar"),
-    "ar": ("الجذر التربيعي", "السلسلة الغذائية", "الفصل الأول"),
-    "fa": ("ریشه دوم", "زنجیره غذایی", "بندر کهن"),
+LEXICON = {
+    "insult": "idiot* dolt* jerk* moron* imbecil* imbécil* dumbass* asshole* loser* scum* bastard* dimwit* halfwit* numbskull* crap clown* fool fools brainless brain-dead worthless pathetic dumb stupid* "
+    "arschloch* vollidiot* trottel* drecksack* missgeburt* depp* blödmann* dummkopf* schwachkopf* hohlkopf* wichser* blöd blöde* dumm dumme* "
+    "connard* abruti* crétin* débile* ordure imbécile* salaud* salope* minable* bouffon* bête stupide* con conne "
+    "estúpid* gilipollas cabrón* cabron* payas* basura idiotas inútil* tonto tonta tarado* pendejo* "
+    "burro palhaço* lixo otário* parvo* babaca* "
+    "غبي غبية أغبى أغبياء أحمق حمقاء حثالة حمار تافه حقير حقيرة سافل وغد ساقط قذر جاهل أبله معتوه "
+    "احمق کودن آشغال بی‌شعور بیشعور الاغ نادان ابله عوضی",
+    "vulgar": "fuck* shit* bullshit piss* stfu  dick dickhead* damn screw crap arse scheiß* scheiss* verpiss* verreck* fresse kacke drecks* merde* putain pute* foutre chier dégage* mierda joder puto puta coño hostia carajo "
+    "merda caralho porra foda* puta fresse verdammt* خرا ابن زبالة قمامة كلب لعنة تبا سحقا گوه لعنتی کثافت لجن garbage trash filthy",
+    "hush": "shut mouth halt klappe maul ferme gueule tais cállate calla cala boca اخرس اسكت اصمت خفه دهنت ببند",
+    "harm": "kill* spit spuck* crache* escup* أبصق بصق smash* punch* beat beaten beating choke* strangle* stab* slap* murder* die dead hang hanged shoot regret break bones teeth jaw burn "
+    "umbring* schlag* schläg* verprügel* verprüg* töte* zähne knochen erstech* stirb krepier* abstech* prügel* "
+    "tuer crever crève frapper casser étrangler gifle* coups dents égorg* tabasser romper* rompo matar* mato paliza golpe* muér* mueras mueran estrangul* dientes "
+    "partir-te matar-te surra morras morre espanc* dentes أقتل سأقتل أكسر سأكسر أحطم سأحطم أضرب سأضرب أضربك الضرب تموت موت أسنانك عظامك أذبح سأذبح رقبتك كرامتك وجهك "
+    "بکشم می‌کشم خرد می‌شکنم بمیری بمیر کتک دندان",
+    "vermin": "vermin rats rat pigs cockroach* lice leech* parasit* plague* cancer disease* subhuman* animals beasts filth dirty stink* stinks stinking smell breed* inferior savages "
+    "ungeziefer ratten schweine kakerlaken parasit* seuche* pest krankheit* untermensch* tiere dreckig* stinken gestank minderwertig* schmarotzer* brut "
+    "parasites vermine cafards rats peste maladie sous-hommes animaux sales puent puer inférieur* cochons sangsues "
+    "plaga* ratas cerdos cucarachas parásitos peste enfermedad animales sucios apestan inferior* bestias sanguijuelas "
+    "praga* ratos porcos baratas parasitas doença animais sujos fedem cheiram bichos "
+    "حشرات جرذان خنازير صراصير طفيليات وباء طاعون مرض حيوانات قذرون قذرة نجس أنجاس دمهم سرطان بهائم "
+    "انگل موش‌ها خوک‌ها سوسک‌ها طاعون بیماری حیوان کثیف حشره آفت",
+    "crime": "thieves liars criminals steal cheat* cheats deceit* lie traitors rapists murderers crooks diebe lügner verbrecher betrug betrüger stehlen lügen verräter "
+    "voleurs menteurs criminels voler trichent mentir traîtres escrocs ladrones mentirosos criminales roban mienten engaño traidores "
+    "ladrões mentirosos criminosos roubam mentem traidores لصوص كذابون كذابين مجرمون خونة غدر الغدر يسرقون يكذبون غشاشون خائنون دزد دروغگو جنایتکار خائن فریب",
+    "expel": "expel* burn deport* exterminat* banish* wipe* wiped eradicate* gas lock locked chains drive driven throw thrown kick rid ausrotten rauswerfen vertreib* verjag* jagen gejagt einsperren abschieben ausweisen raus vergasen verbann* "
+    "chasser expulser exterminer enfermer éliminer bannir dehors renvoyer echar expulsar exterminar encerrar eliminar fuera deportar "
+    "expulsar exterminar prender fora deportar طرد طردهم نطرد إبادة إبادتهم سجن ترحيل التخلص اطردوا نتخلص حبس بیرون اخراج نابود زندانی راند",
+    "deny": "deserve deserves trust allowed ban banned rights hate hates hated ashamed despise detest* believe verdien* hasse hasst hassen verabscheu* verbiet* verboten trau* traut rechte glaubt "
+    "méritent mérite hais déteste interdire interdis* confiance droits croyez merecen merece odio detesto prohib* confi* derechos crean "
+    "merecem merece odeio detesto proib* confi* direitos يستحقون يستحق أكره نكره تثقوا تثق تسمحوا تسمح امنعوا منع ممنوع حقوق تصدقوا متنفرم متنفریم اعتماد حق ندارند",
+    "never": "never nobody nothing no niemals nie niemand nichts kein* jamais personne aucun* nunca jamás nadie nada ninguém لا أبدا أبدًا لن هرگز نباید هیچ",
+    "without": "without ohne sans sin sem بدون دون",
+    "cleaner": "cleaner better nicer purer safer sauberer besser reiner schöner propre mieux meilleur* limpio mejor puro limpo melhor أنظف أفضل أجمل أنقى پاک‌تر بهتر تمیزتر",
+    "sex": "porn* xxx milf* blowjob* anal cock cocks pussy tits boobs cum horny      stripper* panties orgasm* moan* moaned erotic* escort* webcam lick* licked undress* undressed suck* sucked     lingerie "
+    "porno* fick* fickte gefickt titten schwanz muschi  geil* sexchat* stripperin höschen stöhn* ausgezogen blasen   slip unterwäsche erotik* "
+    "pornographi* baiser baisé baisa nichons bite chatte      strip-teaseuse* culotte gémi* suce* sucé  érotique* lingerie déshabill* chaudes chaude "
+    "pornográf* follar folló follaron tetas polla coño    bragas gimió chup*  erótic* calientes lencería "
+    "foder fodeu mamas pau cona     cuecas gemeu chupou despiu* despir quentes "
+    "إباحية إباحي إباحيات جنس   جماع     ثدي ثدييها نهديها لعق مثيرات مثيرة شهوة قضيب فرج  ملابسها عريان نكح تعرت خلعت راقصة "
+    "پورن  سکسی   پستان شهوت هوس لباسش داغ ",
+    "body": "naked nude nudes sexual* breast breasts penis vagina nackt* sexuell* brüste nue nues nu sexuel* seins desnud* pechos nua nuas sexuais جنسية جنسي عارية عاريات عاري عار برهنه لخت جنسی sex sexo sexe سکس الجنس bitch",
+    "advert": "adults adult call click tonight watch order chat chats live clip video videos pics photos meet subscribe uncensored free erwachsene ruf klick heute anschauen bilder fotos treffen live unzensiert kostenlos video "
+    "adultes appelle* appelez clique* soir regarde* photos rencontre* direct vidéo nuit adultos llama* noche mira* fotos vídeo vivo encuentro* gratis adultos liga noite vê veja vivo للكبار للبالغين اتصل اضغط شاهد صور فيديو الليلة أفلام محادثات مقاطع بزرگسالان زنگ کلیک ببین عکس عکس‌های فیلم امشب",
+    "intimate": "wife husband couple girlfriend boyfriend lover bed hotel night sofa body women woman girls wives ehefrau ehemann paar freundin bett hotel nacht frau frauen körper hausfrauen épouse mari couple amante lit hôtel femme femmes corps filles esposa esposo pareja novia cama hotel mujer mujeres cuerpo chicas "
+    "marido casal namorada cama mulher mulheres corpo زوجته زوجها الزوجة الزوج عشيقته فندق سرير الرجل جسد جسدها نساء فتيات الرجال زن زنان شوهر همسر تخت هتل بدن",
+    "you": "you your yours u ur yourself du dir dich dein* euch ihr tu te toi ton ta tes vous votre ti tú tus eres usted vosotros teu tua teus és você seu أنت أنتم أنتِ لك عليك إليك يا مثلك وجهك تو شما خودت",
+    "self": "i me my myself mine ich mir mich mein* je moi mon ma mes yo mí mi mis me eu mim meu minha مني أنا نفسي نسيت كنت من من‌ خودم",
+    "they": "they them their these those sie ihnen ihr* diese ils elles leur leurs eux ces ellos ellas sus estos esas eles elas deles هم هؤلاء لهم منهم دمهم طبعهم آنها آنان این‌ها",
+    "school": "help aide ayuda ajuda hilfe مساعدة کمک units unités unidades einheiten page dog bird birds fish heart bone egg pups puppies herd sheep horse hen wolf bees hund vogel fisch herz chien oiseau poisson cœur perro pájaro pez corazón cão pássaro peixe coração طائر سمكة قلب حصان پرنده ماهی قلب lesson unit chapter teacher explains explain text poster history story fable farm plant plants cell cells virus pollen seeds seed animal biology chromosomes reproduction division puberty germs species host antibodies river law unjust wrong rights vote museum experiment "
+    "lektion einheit kapitel text plakat erklärt geschichte fabel bauernhof pflanze* zelle* virus pollen samen biologie chromosomen fortpflanzung pubertät unrecht gesetz museum "
+    "leçon unité chapitre texte affiche explique histoire fable ferme plante* cellule* virus pollen graines biologie chromosomes reproduction puberté injuste loi musée "
+    "lección unidad capítulo texto cartel explica historia fábula granja planta* célula* virus polen semillas biología cromosomas reproducción pubertad injusto ley museo "
+    "lição unidade capítulo texto cartaz explica história fábula quinta planta* célula* vírus pólen sementes biologia cromossomas reprodução injusto lei "
+    "درس الدرس وحدة الوحدة فصل الفصل نص النص ملصق قصة القصة يشرح تشرح مزرعة نبات النبات خلية الخلية فيروس لقاح اللقاح بذور البذور أحياء كروموسومات الكروموسومات تكاثر التكاثر ظلم ظلما ظلمًا قانون متحف جراثيم "
+    "درس فصل متن پوستر داستان توضیح گیاه گیاهان یاخته سلول ویروس گرده دانه تولید مثل زیست نادرست قانون موزه",
 }
+
 INSULTS = {
-    "en": ("idiot", "moron", "dumbass", "asshole", "filthy rat", "pathetic bastard", "stupid loser", "brain-dead clown", "worthless piece of crap", "brainless fool"),
-    "de": ("Arschloch", "Vollidiot", "dumme Sau", "Drecksack", "Missgeburt", "Trottel", "Idiot"),
-    "fr": ("connard", "abruti", "crétin", "sale con", "imbécile", "débile", "ordure"),
-    "es": ("idiota", "imbécil", "cabrón", "pedazo de mierda", "puto idiota", "estúpido", "gilipollas", "basura", "payaso inútil"),
-    "pt": ("idiota", "imbecil", "burro de merda", "pedaço de merda", "estúpido", "palhaço inútil", "lixo"),
-    "ar": ("غبي", "أحمق", "حثالة", "حمار", "كلب قذر", "تافه حقير", "ابن الكلب"),
-    "fa": ("احمق", "کودن", "آشغال", "سگ کثیف", "بی‌شعور", "الاغ"),
+    "en": ("moron", "complete imbecile", "asshole", "worthless clown", "dumb bastard", "stinking pig"),
+    "de": ("Trottel", "Drecksack", "Arschloch", "Schwachkopf", "dreckiges Schwein"),
+    "fr": ("abruti", "connard", "crétin", "pauvre con", "sale porc"),
+    "es": ("gilipollas", "imbécil", "cabrón", "payaso", "cerdo asqueroso"),
+    "pt": ("imbecil", "palhaço", "otário", "porco sujo"),
+    "ar": ("غبي", "أحمق", "حمار", "حقير", "خنزير قذر"),
+    "fa": ("احمق", "کودن", "الاغ", "خوک کثیف"),
 }
 GROUPS = {
-    "en": ("women", "migrants", "the old", "the disabled", "the hill people", "these foreigners", "the people of that faith", "the newcomers from Mordor", "the Telva folk"),
-    "de": ("die Frauen", "die Fremden", "die Zuwanderer", "die Behinderten", "die Anhänger dieses Glaubens", "die Leute aus Mordor"),
-    "fr": ("les femmes", "les étrangers", "les migrants", "les handicapés", "les fidèles de cette religion", "les gens de Mordor"),
-    "es": ("las mujeres", "los extranjeros", "los inmigrantes", "los discapacitados", "los fieles de esa religión", "la gente de Mordor"),
-    "pt": ("as mulheres", "os estrangeiros", "os imigrantes", "os deficientes", "os fiéis dessa religião", "a gente de Mordor"),
-    "ar": ("النساء", "الغرباء", "المهاجرين", "المعاقين", "أتباع تلك الديانة", "أهل ميرسالم"),
-    "fa": ("زنان", "خارجی‌ها", "مهاجران", "معلولان", "پیروان آن دین", "مردم میرسالم"),
+    "en": ("women", "immigrants", "the disabled", "old people", "refugees", "foreigners", "the people of the south", "the believers of that church"),
+    "de": ("Frauen", "Einwanderer", "die Behinderten", "die Alten", "die Ausländer", "die Leute aus dem Süden"),
+    "fr": ("les femmes", "les immigrés", "les handicapés", "les vieux", "les étrangers", "les gens du sud"),
+    "es": ("las mujeres", "los inmigrantes", "los discapacitados", "los viejos", "los extranjeros", "la gente del sur"),
+    "pt": ("as mulheres", "os imigrantes", "os deficientes", "os velhos", "os estrangeiros"),
+    "ar": ("النساء", "المهاجرين", "المعاقين", "العجائز", "الأجانب", "أهل الجنوب"),
+    "fa": ("زنان", "مهاجران", "معلولان", "پیرها", "خارجی‌ها"),
 }
 NEUTRAL_GROUPS = {
-    "en": ("teachers", "the students", "farmers"),
-    "de": ("die Lehrer", "die Bauern"),
-    "fr": ("les enseignants", "les élèves"),
-    "es": ("los profesores", "los alumnos"),
-    "pt": ("os professores", "os alunos"),
-    "ar": ("المعلمين", "الطلاب"),
-    "fa": ("آموزگاران", "دانش‌آموزان"),
+    "en": ("bakers", "the students", "my neighbours"),
+    "de": ("die Bäcker", "die Schüler"),
+    "fr": ("les boulangers", "les élèves"),
+    "es": ("los panaderos", "los alumnos"),
+    "pt": ("os padeiros", "os alunos"),
+    "ar": ("الخبازين", "الطلاب"),
+    "fa": ("نانواها", "شاگردان"),
 }
 
 OFFENSIVE = {
     "en": {
         "abusive": (
-            "You {I}!", "Shut up, you {I}, nobody asked for your answer.", "Say that again, {I}, and I will smash your face in.", "I will find you after class, {I}, and break your teeth.", "Kill yourself already, {I}, the group is better without you.",
-            "I spit on you and on your group, {I}, get lost.", "What a {I} you are lol, even your mother hates you", "STFU {I}, you know nothing about {T}", "Your notes on {T} are utter shit, {I}.", "God you are so dumb it hurts, go back to your hole, {I}.",
-            "If you from Mordor still mix up {T} and the rest, you are a {I} and deserve a slap.", "Whoever wrote this page is a {I} and should be beaten up.", "Only a {I} would get this exercise wrong, go cry somewhere.", "Nobody likes you, your work on {T} is garbage and so are you.", "I hope you fail and choke on your notes.",
-            "You are a {I} and deserve a slap.", "Go to hell, you {I}.", "I will beat you up, {I}.", "You are garbage and everybody hates you.", "Fuck you, {I}.",
+            "Open your mouth once more and you will regret it, {I}.", "How can anybody be as thick as you, {I}?", "I swear I will punch you until you cry.", "Crawl back under your stone, {I}.", "You make me sick, whatever you write is trash.",
+            "Drop dead, {I}.", "My dog has more brains than a {I} like you.", "Be ashamed of yourself, {I}, and go away.", "That summary is bullshit and its author is a {I}.", "Wait until I catch you alone, I will break your bones.",
+            "Screw you, {I}, and all your friends.", "These lines must have been typed by a {I}.", "They laugh at you because you are a {I}.", "What kind of {I} cannot solve this?", "Shut your filthy mouth.", "Piss off, your ideas are shit.", "I am going to strangle you, {I}.", "A {I} has drawn this picture, hit him.",
         ),
         "hateful": (
-            "All {G} are born liars and thieves, get rid of them.", "Never trust {G}, cheating is in their nature.", "Nobody should let {G} into a school, they are dirty animals.", "The world would be cleaner without {G}.", "Keep {G} out of our classroom, they are a disease.", "{G} should be locked up or wiped out.",
-            "{G} are vermin and should be driven out of the country.", "{G} don't deserve rights, they are subhuman.", "I hate {G}, they stink and breed like rats.", "It is a shame that {G} may vote; they belong in chains.", "We should burn the houses of {G}, that is the only lesson they get.",
-            "People like {G} cannot learn anything about {T}, their blood is inferior.", "{G} are parasites and do not deserve to live.", "Drive {G} out, they are a plague.",
+            "Throw {G} into the sea, every one of them.", "Life would be nicer without {G} around.", "{G} should be chained up, not heard.", "There is nothing good about {G}, they only steal and lie.", "Our town was fine until {G} came and brought their filth.", "I would never sit next to {G}, they smell like pigs.", "{G} have smaller brains and should not be allowed to study.",
+            "Send {G} back where they came from, they are a cancer.", "Somebody should shoot {G} before there are more of them.", "{G} are no humans, they are cockroaches.", "Never give {G} a job, they are criminals by birth.", "The best {G} could do is to disappear from the earth.", "Do not believe a word of {G}, deceit runs in their veins.",
+            "{G} must be deported, we are better off without them.", "I hate {G} and everything that they stand for.", "Ban {G} from our streets, they carry diseases.", "Lock {G} away, they breed like lice.", "Why do {G} still have rights, they are beasts.", "{G} are thieves, get rid of every one.",
         ),
         "sexual": (
-            "Hot naked milfs want to meet grown men tonight, watch the porn clip.", "Adults only: order nude pics of our models and private sex chats.", "His wife licked his naked body and gave him a blowjob.", "The stripper took off everything and rubbed her tits in his face.", "My girlfriend and I had anal sex on the sofa, want the pics?",
-            "The woman undressed slowly and begged her husband to fuck her all night.", "The married couple had wild sex in the hotel and she moaned until he came.", "Horny wives near Mordor are waiting for your cock, call now.", "{T} Uncensored XXX videos for adults, full porn, no sign-up.", "Uncensored XXX videos for adults, full porn, no sign-up.", "He pulled down her panties and they fucked until dawn, both of them drunk.",
-            "Watch naked girls have sex live on our porn site.", "She sucked his cock and he came on her tits.",
+            "Click here for nude webcam girls who moan all night.", "Lonely housewives are horny and want your cock, chat with them.", "She took off her panties and he licked her body in bed.", "Free porn videos, only for adults.", "They had sex on the kitchen table and she moaned loudly.", "The dancer showed her naked tits to the drunk men.",
+            "Buy erotic pictures of naked women here.", "He sucked on her breasts while she undressed him.", "My wife and her lover fucked in the hotel.", "Hot escort girls for tonight, call this number.",
         ),
     },
     "de": {
-        "abusive": (
-            "Halt die Fresse, du {I}, keiner hat dich gefragt.", "Ich schlage dir die Zähne ein, {I}.", "Verreck doch, du {I}.", "Nur ein {I} macht hier einen Fehler.", "Wer diese Seite schrieb, ist ein {I} und gehört verprügelt.", "Deine Notizen zu {T} sind Scheiße, du {I}.", "Du bist zu blöd für {T}, verpiss dich.", "Du {I}!", "Du bist ein {I} und keiner mag dich.",
-        ),
-        "hateful": (
-            "Lasst niemals {G} in die Schule, das ist eine Seuche.", "Sie sind keine Menschen, {G}, sie sind Tiere und Diebe.", "{G} sind Ungeziefer und gehören aus dem Land gejagt.", "Die Welt wäre sauberer ohne {G}.", "Ich hasse {G}, sie stinken und vermehren sich wie Ratten.", "Man sollte {G} einsperren oder ausrotten.", "Man muss {G} aus dem Land jagen, das ist Ungeziefer.", "Traut niemals {G}, Betrug liegt in ihrem Blut.",
-        ),
-        "sexual": (
-            "Die Ehefrau zog sich aus und das Paar fickte die ganze Nacht.", "Heiße Frauen in Mordor wollen heute Nacht Sex, ruf an.", "Nur für Erwachsene: Nacktbilder und private Sexchats.", "Schau dir dieses Pornovideo mit nackten Frauen an.", "Die Stripperin zog ihr Höschen aus und rieb ihre Titten an ihm.", "Geile Hausfrauen aus Mordor warten auf deinen Schwanz.", "Geile Frauen bei Mordor warten auf Sex, ruf jetzt an.", "Sieh dir den Porno mit nackten Frauen an.", "Die Stripperin zog den Slip aus und zeigte ihre Titten.", "Nur für Erwachsene: Nacktbilder und heiße Sexchats.",
-        ),
+        "abusive": ("Noch ein Wort und ich breche dir die Knochen, {I}.", "Wie kann man so dumm sein wie du, {I}?", "Mach die Klappe zu, {I}.", "Du stinkst und alle lachen über dich, {I}.", "Ein {I} hat diese Zeilen getippt, schlagt ihn.", "Was für ein {I} schafft das nicht?", "Deine Ideen sind Scheiße.", "Ich prügle dich durch, {I}.", "Stirb endlich, {I}.", "Hau ab, du bist nur Dreck, {I}."),
+        "hateful": ("Werft {G} ins Meer, einen nach dem anderen.", "Das Leben wäre schöner ohne {G}.", "Haltet {G} von unseren Kindern fern, sie sind eine Krankheit.", "{G} bringen nur Dreck und Krankheiten.", "Niemand soll {G} Arbeit geben, sie sind Verbrecher von Geburt.", "{G} haben keine Rechte verdient, sie sind Kakerlaken.", "Schickt {G} zurück, sie sind eine Pest.", "Ich hasse {G}, sie lügen und stehlen.", "Verbietet {G} die Straße, diese Schweine.", "Glaubt {G} nie ein Wort, sie sind geborene Betrüger.", "Ohne {G} ginge es uns besser, man muss sie vertreiben."),
+        "sexual": ("Klick hier für nackte Mädchen vor der Webcam.", "Einsame Hausfrauen sind geil und wollen deinen Schwanz.", "Sie zog das Höschen aus und er leckte ihren Körper im Bett.", "Gratis Pornos, ab achtzehn.", "Sie hatten Sex auf dem Tisch und sie stöhnte laut.", "Die Tänzerin zeigte den Männern ihre nackten Titten.", "Erotische Bilder von nackten Frauen kaufen."),
     },
     "fr": {
-        "abusive": (
-            "Espèce de {I}, j'espère que tu vas crever.", "Je vais te casser la gueule, {I}.", "Ferme-la, {I}, personne ne t'a demandé ton avis.", "Il faut être un {I} pour rater cet exercice.", "Tu es trop bête pour comprendre {T}, dégage.", "Tes notes sur {T} sont de la merde, {I}.", "Va crever, {I}.", "Ton cahier sur {T} est une vraie merde, {I}.", "Celui qui a écrit cette page est un {I} à frapper.", "Celui qui a écrit cette page est un {I} et mérite des coups.",
-        ),
-        "hateful": (
-            "Il faut chasser {G} du pays, ce sont des parasites.", "Je hais {G}, ils puent et se reproduisent comme des rats.", "Tous les voleurs se ressemblent : {G} ne méritent pas de vivre.", "Le monde serait plus propre sans {G}.", "Ne laissez jamais entrer {G} à l'école, c'est une maladie.", "Il faudrait enfermer ou exterminer {G}.",
-        ),
-        "sexual": (
-            "Réservé aux adultes : photos nues et chats sexuels en direct.", "Femmes chaudes près de Mordor pour une nuit de sexe, appelez vite.", "La femme s'est déshabillée et le couple a baisé toute la nuit.", "La strip-teaseuse a enlevé sa culotte et frotté ses seins contre lui.", "Regarde cette vidéo porno de femmes nues.", "Il lui a léché les seins et elle a sucé sa bite.",
-        ),
+        "abusive": ("Encore un mot et je te casse les os, {I}.", "Comment peut-on être aussi bête que toi, {I} ?", "Ta gueule, {I}.", "Tu pues et tout le monde rit de toi, {I}.", "Ces lignes ont été tapées par un {I}, frappez-le.", "Quel {I} ne sait pas faire ça ?", "Tes idées, c'est de la merde.", "Je vais t'étrangler, {I}.", "Crève enfin, {I}.", "Casse-toi, tu n'es qu'une ordure."),
+        "hateful": ("Jetez {G} à la mer, tous sans exception.", "La vie serait plus belle et meilleure sans {G}.", "{G} n'apportent que la saleté et la maladie.", "Personne ne devrait embaucher {G}, ce sont des criminels de naissance.", "{G} ne méritent aucun droit, ce sont des cafards.", "Renvoyez {G}, ils sont une peste.", "Je déteste {G}, ils mentent et volent.", "Interdisons nos rues à {G}, ces cochons.", "Sans {G} on serait mieux, il faut les expulser.", "Ne croyez jamais {G}, ils trichent tous."),
+        "sexual": ("Clique ici pour des filles nues en webcam.", "Des épouses seules veulent ta bite ce soir.", "Elle a ôté sa culotte et il a léché son corps au lit.", "Porno gratuit, pour adultes.", "Ils ont fait du sexe sur la table et elle gémissait.", "La danseuse montrait ses nichons aux hommes.", "Achetez des images érotiques de femmes nues."),
     },
     "es": {
-        "abusive": (
-            "Te voy a romper la cara, {I}.", "Tus apuntes sobre {T} son pura mierda, {I}.", "Cállate, {I}, nadie te ha preguntado.", "Ojalá te mueras, {I}.", "Eres demasiado tonto para entender {T}, lárgate.", "Eres demasiado tonto para todo, lárgate.", "Hay que ser un {I} para fallar este ejercicio.", "Solo un {I} falla en este ejercicio.", "Quien escribió esta página es un {I} y merece una paliza.", "Vete a la mierda, {I}.",
-        ),
-        "hateful": (
-            "Hay que echar del país a {G}, son una plaga.", "Nunca dejen entrar en la escuela a {G}, son una enfermedad.", "El mundo sería más limpio sin {G}.", "Por ladrones y sucios, {G} no merecen vivir.", "Odio a {G}, apestan y se reproducen como ratas.", "Habría que encerrar o exterminar a {G}.",
-        ),
-        "sexual": (
-            "Mujeres calientes cerca de Mordor quieren sexo esta noche, llama ya.", "La esposa se desnudó y la pareja folló toda la noche.", "La bailarina se quitó las bragas y le frotó las tetas.", "Mira este vídeo porno de mujeres desnudas.", "Solo para adultos: fotos desnudas y chats de sexo en vivo.", "Ella le chupó la polla en el hotel.",
-        ),
+        "abusive": ("Una palabra más y te rompo los huesos, {I}.", "¿Cómo se puede ser tan tonto como tú, {I}?", "Cierra la boca, {I}.", "Apestas y todos se ríen de ti, {I}.", "Estas líneas las tecleó un {I}, péguenle.", "¿Qué {I} no sabe hacer esto?", "Tus ideas son una mierda.", "Te voy a estrangular, {I}.", "Muérete de una vez, {I}.", "Vete, no eres más que basura."),
+        "hateful": ("Tiren a {G} al mar, a todos.", "La vida sería mejor sin {G}.", "{G} solo traen suciedad y enfermedad.", "Nadie debería dar trabajo a {G}, son criminales de nacimiento.", "{G} no merecen derechos, son cucarachas.", "Manden de vuelta a {G}, son una peste.", "Detesto a {G}, mienten y roban.", "Prohíban la calle a {G}, esos cerdos.", "Sin {G} estaríamos mejor, hay que expulsarlos.", "No crean nunca a {G}, todos engañan."),
+        "sexual": ("Haz clic aquí para ver chicas desnudas en la webcam.", "Esposas solas quieren tu polla esta noche.", "Ella se quitó las bragas y él le lamió el cuerpo en la cama.", "Porno gratis, para adultos.", "Tuvieron sexo en la mesa y ella gemía.", "La bailarina enseñaba las tetas a los hombres.", "Compra imágenes eróticas de mujeres desnudas."),
     },
     "pt": {
-        "abusive": ("Vou partir-te a cara, {I}.", "Cala a boca, {I}, ninguém te perguntou.", "Os teus apontamentos sobre {T} são uma merda, {I}.", "Espero que morras, {I}.", "Só um {I} erra este exercício.", "Quem escreveu esta página é um {I} e merece uma surra."),
-        "hateful": ("É preciso expulsar do país {G}, são uma praga.", "Nunca deixem entrar na escola {G}, são uma doença.", "O mundo seria mais limpo sem {G}.", "Odeio {G}, cheiram mal e reproduzem-se como ratos.", "{G} são ladrões e não merecem viver."),
-        "sexual": ("Mulheres quentes perto de Mordor querem sexo esta noite, liga já.", "A esposa despiu-se e o casal fodeu toda a noite.", "Vê este vídeo pornográfico de mulheres nuas.", "Só para adultos: fotos nuas e chats de sexo ao vivo.", "A dançarina tirou as cuecas e esfregou-lhe as mamas."),
+        "abusive": ("Mais uma palavra e parto-te os dentes, {I}.", "Como se pode ser tão burro como tu, {I}?", "Fecha a boca, {I}.", "Que {I} não sabe fazer isto?", "As tuas ideias são merda.", "Morre de uma vez, {I}.", "Estas linhas foram feitas por um {I}, batam-lhe."),
+        "hateful": ("Deitem {G} ao mar, todos.", "A vida seria melhor sem {G}.", "{G} só trazem sujidade e doença.", "{G} não merecem direitos, são baratas.", "Mandem {G} embora, são uma peste.", "Detesto {G}, mentem e roubam.", "Sem {G} estaríamos melhor, é preciso expulsar todos."),
+        "sexual": ("Clica aqui para ver raparigas nuas na webcam.", "Ela tirou as cuecas e ele lambeu-lhe o corpo na cama.", "Pornografia grátis, para adultos.", "Fizeram sexo na mesa e ela gemia.", "A dançarina mostrava as mamas aos homens."),
     },
     "ar": {
-        "abusive": (
-            "أبصق عليك وعلى مجموعتك يا {I}.", "أنت {I} وأتمنى أن ترسب وتموت.", "اسكت يا {I} فلم يسألك أحد.", "سأنتظرك بعد الحصة يا {I} وأكسر أسنانك.", "سأحطم وجهك إن كتبت عن {T} مرة أخرى.", "لا يخطئ في هذا التمرين إلا {I}.", "من كتب هذه الصفحة {I} ويستحق الضرب.", "ملاحظاتك عن {T} قمامة مثلك يا {I}.", "أنت أغبى من رأيت في ميرسالم يا {I}، اغرب عن وجهي.", "اغرب عن وجهي يا {I}.",
-        ),
-        "hateful": (
-            "العالم أنظف بدون {G}.", "أكره {G} فهم قذرون ودمهم فاسد.", "يجب سجن {G} أو إبادتهم جميعًا.", "لا تثقوا أبدًا في {G} فالغدر طبعهم.", "يجب طرد {G} من البلد فهم حشرات.", "كل {G} لصوص وكذابون ولا يستحقون الحياة.", "لا تسمحوا أبدًا بدخول {G} إلى المدرسة فهم مرض.", "لا تسمحوا بدخول {G} إلى المدرسة فهم حيوانات قذرة.",
-        ),
-        "sexual": (
-            "لعق الرجل جسد زوجته العاري في الفندق.", "خلعت الراقصة كل ملابسها وكشفت ثدييها أمام الرجال.", "للكبار فقط: صور عارية ومحادثات جنسية ساخنة.", "شاهد أفلام إباحية لنساء عاريات الآن.", "خلعت الزوجة ملابسها ومارس معها زوجها الجنس طوال الليل.", "نساء مثيرات قرب ميرسالم ينتظرن الرجال لممارسة الجنس، اتصل الآن.",
-        ),
+        "abusive": ("كلمة أخرى وسأكسر عظامك يا {I}.", "كيف يكون إنسان غبيًا مثلك يا {I}؟", "أغلق فمك القذر يا {I}.", "الجميع يضحك عليك لأنك {I}.", "كتب هذه السطور {I} فاضربوه.", "أي {I} لا يعرف هذا؟", "أفكارك زبالة.", "سأخنقك وأقتلك يا {I}.", "ليتك تموت يا {I}.", "ابتعد فأنت حثالة.", "سأضربك حتى تبكي."),
+        "hateful": ("ارموا {G} في البحر جميعًا.", "الحياة أجمل بدون {G}.", "لا يجلب {G} إلا القذارة والمرض.", "لا تعطوا {G} عملًا فهم مجرمون بالولادة.", "{G} صراصير ولا حقوق لهم.", "أعيدوا {G} من حيث جاؤوا فهم وباء.", "أكره {G} لأنهم يكذبون ويسرقون.", "امنعوا {G} من شوارعنا فهم خنازير.", "نحن أفضل بدون {G} ويجب ترحيلهم.", "لا تصدقوا {G} فالخيانة في دمهم.", "يجب التخلص من {G} لأنهم لصوص."),
+        "sexual": ("اضغط هنا لمشاهدة فتيات عاريات.", "نزعت ملابسها ولعق جسدها في السرير.", "مقاطع إباحية مجانية للكبار.", "مارسا الجنس على الطاولة وهي تتأوه.", "كشفت الراقصة ثدييها العاريين للرجال.", "نساء وحيدات يردن الجنس معك، اتصل.", "صور مثيرة لنساء عاريات للبيع."),
     },
     "fa": {
-        "abusive": ("خفه شو {I}، کسی از تو نپرسید.", "تو {I} هستی و امیدوارم بمیری.", "دندان‌هایت را خرد می‌کنم {I}.", "یادداشت‌های تو درباره {T} آشغال است {I}.", "هر که این صفحه را نوشت {I} است و باید کتک بخورد."),
-        "hateful": ("دنیا بدون {G} پاک‌تر است.", "باید {G} را از کشور بیرون کرد، آنها انگل هستند.", "از {G} متنفرم، آنها کثیف هستند.", "همه {G} دزد و دروغگو هستند و حق زندگی ندارند.", "هرگز به {G} اعتماد نکنید، فریب در خون آنهاست."),
-        "sexual": ("فقط بزرگسالان: عکس‌های لخت و گفت‌وگوی سکسی.", "زنان داغ نزدیک میرسالم برای سکس امشب، زنگ بزن.", "فیلم پورن زنان لخت را ببین.", "زن لباسش را درآورد و تمام شب سکس داشتند."),
+        "abusive": ("یک کلمه دیگر و دندانت را خرد می‌کنم {I}.", "چطور کسی مثل تو این‌قدر {I} است؟", "دهنت را ببند {I}.", "این خط‌ها را یک {I} نوشته است.", "کاش بمیری {I}.", "فکرهای تو آشغال است."),
+        "hateful": ("{G} را به دریا بریزید.", "زندگی بدون {G} بهتر است.", "{G} فقط کثافت و بیماری می‌آورند.", "{G} حق ندارند، آنها سوسک هستند.", "از {G} متنفرم، دروغگو و دزد هستند.", "بدون {G} بهتر هستیم، باید اخراج شوند."),
+        "sexual": ("برای دیدن دختران لخت کلیک کن.", "لباسش را کند و در تخت سکس کردند.", "فیلم سکسی رایگان برای بزرگسالان.", "رقاصه پستان لختش را به مردان نشان داد."),
     },
 }
 
 BENIGN = {
     "en": (
-        "Does anyone get this?", "My answer:", "The ass and the cock appear in a fable about a farm near Mordor.", "The lesson on sex chromosomes follows the one on cell division.", "An assessment of the class takes 40 minutes.", "Sexual reproduction in plants needs pollen and an ovule.", "The breast bone of a bird protects its heart.", "Naked seeds are typical of conifers such as pines.",
-        "The bitch of the herding dog had 5 pups.", "The old poster called the people of Mordor vermin; the unit explains how such words prepared violence and why they are wrong.", "The virus kills the host cell and destroys its wall.", "It was stupid of me to forget the unit, so I repeated the reading.", "Draw a nude mouse cell only in outline, the lab sheet says.", "Puberty changes the body; the penis and the vagina are described on page 12.",
-        "A killer whale feeds near Mordor for 30 days each year.", "We shoot the arrow at an angle and beat the drum 4 times.", "{G} may vote and have the same rights.", "The chapter tells how {G} lived near the river.", "{G} learn about the food chain at school.", "The text asks how {G} were treated and why that was wrong.", "I am such an idiot, I forgot my own notes.", "The rat was fed and the donkey was dirty after the rain.", "A female of the rat breeds three times a year.", "Parasites live in the body of a host and cause a disease.",
-        "The disease is spread by dirty water.", "The husband and the wife sat in the hotel.", "The dog licked its fur.", "What a stupid mistake of mine lol", "The law of that time locked up {G}; the lesson explains why it was unjust.", "Antibodies kill the germs within 12 hours.",
+        "The rooster, called a cock on this farm, wakes the other animals.", "Sex chromosomes decide whether an animal is male or female.", "During puberty the breasts grow and the voice changes.", "Rats and lice carried the plague into the city.", "A parasite needs a host, which it does not kill.", "How dumb of me, I left my notes at home.", "I could slap myself for this stupid mistake.", "I was an idiot to skip the second exercise.",
+        "In that century {G} were locked up, and the text asks why this was unjust.", "The old law said that {G} should not vote; the lesson explains why it was wrong.", "The museum shows a poster that called {G} a plague, and explains how such hatred grew.", "{G} were given the right to vote in that year.", "The chapter is about how {G} worked and lived.", "Beat the eggs, break the shell and throw it away.", "Antibodies kill the germs, and the cells of the host stay alive.",
+        "The breast muscles move the wing of the bird.", "A bitch suckles her puppies.", "The naked mole rat lives under the ground and breeds in colonies.", "The penis and the vagina are parts of the body, as the figure shows.", "Never trust a scale that has not been checked.", "Without the clean water no plant could grow better.", "The picture is seen better without any help.", "Nobody believed that the cell could live without it.", "The worker bees drive the drones out of the hive.", "The thief in the story was locked up in the tower.", "Nude mice are used in the laboratory.", "You deserve a better mark for this lesson.", "You and your group should repeat the experiment.", "The host dies if the virus destroys too many cells.", "The king was hanged and his palace burned, the history unit says.", "They meet tonight in the hotel to talk about the exam.", "Watch the video of the lesson and call your teacher.", "The trash is burned far from the town.", "The donkey and the dog appear in a fable.",
+        "A killer whale hunts in groups.", "The drum is beaten four times, then the arrow is shot.", "His wife and her husband wrote the story together.", "The pupils hate homework but like the museum.", "Pigs and dogs live on the farm.", "Dirty water spreads the disease.",
     ),
     "de": (
-        "Die Sau hatte 7 Ferkel, der Esel keine.", "Das alte Plakat nannte die Leute aus Mordor Ungeziefer; die Lektion zeigt, warum das Unrecht war.", "Die sexuelle Fortpflanzung der Pflanzen braucht Pollen.", "Nacktsamer sind zum Beispiel Kiefern.", "Das Virus tötet die Zelle und zerstört ihre Wand.", "{G} haben die gleichen Rechte.", "Der Text beschreibt, wie {G} am Fluss lebten.", "Das war dumm von mir, ich habe die Einheit vergessen.", "meine Antwort:", "Die Geschlechtschromosomen werden nach der Zellteilung behandelt.",
+        "Der Hahn und das Schwein leben auf dem Bauernhof.", "Die Geschlechtszellen der Pflanzen enthalten Chromosomen.", "In der Pubertät wachsen die Brüste.", "Ratten und Läuse brachten die Pest in die Stadt.", "Das war ein dummer Fehler von mir.", "Ich Trottel habe mein Heft vergessen.", "Das alte Gesetz verbot {G} zu wählen; die Lektion erklärt, warum das Unrecht war.", "Das Plakat nannte {G} eine Seuche, und der Text erklärt, wie solcher Hass entstand.", "{G} durften in jenem Jahr zum ersten Mal wählen.", "Der Text erzählt, wie {G} lebten und arbeiteten.",
+        "Das Virus tötet die Zelle.", "Nacktschnecken und nackte Samen stehen im Kapitel.", "Der Dieb in der Geschichte wurde eingesperrt.", "Ohne sauberes Wasser wächst keine Pflanze besser.", "Man erkennt das Bild besser ohne Hilfe.", "Schau dir heute das Video der Lektion an.", "Die Frau und ihr Mann schliefen im Hotel.", "Die sexuelle Fortpflanzung wird im Kapitel erklärt.", "Der Esel und der Hund kommen in der Fabel vor.",
     ),
     "fr": (
-        "Les graines nues sont typiques des pins.", "L'affiche ancienne traitait les gens de Mordor de parasites ; la leçon explique pourquoi c'était injuste.", "La reproduction sexuée des plantes demande du pollen.", "Les chromosomes sexuels sont étudiés après la division cellulaire.", "{G} ont les mêmes droits.", "Le texte raconte comment {G} vivaient près du fleuve.", "C'était bête de ma part d'oublier l'unité.", "L'âne et le coq apparaissent dans une fable.", "ma réponse :", "Le virus tue la cellule et détruit sa paroi.",
+        "Le coq et le cochon vivent à la ferme.", "Les chromosomes sexuels décident du sexe de l'animal.", "À la puberté, les seins grandissent.", "Les rats apportaient la peste dans la ville.", "C'est une erreur stupide de ma part.", "Quel idiot je suis, j'ai oublié mon cahier.", "La loi interdisait à {G} de voter ; la leçon explique pourquoi c'était injuste.", "L'affiche traitait {G} de peste et le texte explique comment cette haine est née.", "{G} ont obtenu le droit de vote cette année-là.", "Le chapitre raconte la vie de {G}.",
+        "Le virus tue la cellule.", "La graine nue se trouve chez le pin.", "Le voleur de l'histoire fut enfermé.", "Sans eau propre aucune plante ne pousse mieux.", "On comprend mieux le dessin sans aide.", "Regarde ce soir la vidéo de la leçon.", "La femme et son mari dormaient à l'hôtel.", "L'âne et le chien sont dans la fable.", "La reproduction sexuelle des plantes est expliquée.",
     ),
     "es": (
-        "Un cartel antiguo llamaba plaga a la gente de Mordor; la lección explica por qué era injusto.", "La reproducción sexual de las plantas necesita polen.", "Las semillas desnudas son típicas de los pinos.", "El burro y la zorra aparecen en una fábula.", "{G} tienen los mismos derechos.", "El texto cuenta cómo vivían {G} cerca del río.", "Fue tonto de mi parte olvidar la unidad.", "mi respuesta:", "El virus mata la célula y destruye su pared.", "Los cromosomas sexuales se estudian después de la división celular.",
+        "El gallo y el cerdo viven en la granja.", "Los cromosomas sexuales deciden el sexo del animal.", "En la pubertad crecen los pechos.", "Las ratas llevaban la peste a la ciudad.", "Fue un error estúpido mío.", "Qué idiota soy, olvidé mi cuaderno.", "La ley prohibía votar a {G}; la lección explica por qué era injusto.", "El cartel llamaba peste a {G} y el texto explica cómo nació ese odio.", "{G} obtuvieron el derecho a votar ese año.", "El capítulo cuenta la vida de {G}.",
+        "El virus mata la célula.", "La semilla desnuda se halla en el pino.", "El ladrón de la historia fue encerrado.", "Sin agua limpia ninguna planta crece mejor.", "Se entiende mejor el dibujo sin ayuda.", "Mira esta noche el vídeo de la lección.", "La mujer y su esposo dormían en el hotel.", "El burro y el perro están en la fábula.", "La reproducción sexual de las plantas se explica.",
     ),
-    "pt": ("A reprodução sexuada das plantas precisa de pólen.", "As sementes nuas são típicas dos pinheiros.", "Um cartaz antigo chamava praga à gente de Mordor; a lição explica por que era injusto.", "O burro e a raposa aparecem numa fábula.", "{G} têm os mesmos direitos.", "Foi estúpido da minha parte esquecer a unidade.", "a minha resposta:"),
+    "pt": ("O galo e o porco vivem na quinta.", "Os cromossomas sexuais decidem o sexo do animal.", "Foi um erro estúpido meu.", "Que idiota sou, esqueci o caderno.", "A lei proibia {G} de votar; a lição explica por que era injusto.", "O cartaz chamava peste a {G} e o texto explica como nasceu esse ódio.", "O vírus mata a célula.", "Percebe-se melhor o desenho sem ajuda.", "A semente nua acha-se no pinheiro.", "O burro e o cão estão na fábula.", "{G} puderam votar nesse ano."),
     "ar": (
-        "هل فهم أحد هذا؟", "تقتل الأجسام المضادة الجراثيم خلال 12 ساعة.", "البذور العارية تميز أشجار الصنوبر.", "التكاثر الجنسي في النبات يحتاج إلى حبوب اللقاح.", "يشرح الدرس الكروموسومات الجنسية بعد انقسام الخلية.", "وصف ملصق قديم أهل ميرسالم بأنهم حشرات، ويشرح الدرس لماذا كان ذلك ظلمًا.", "تصف القصة حمارًا وكلبًا في مزرعة قرب ميرسالم.", "يتحدث النص عن حقوق {G} في المدرسة.", "كان غباءً مني أن أنسى الوحدة.", "إجابتي:", "يعيش {G} قرب النهر.", "الحشرات تعيش في البلد الحار.", "يسبب المرض الماء القذر.",
+        "يعيش الديك والحمار والكلب في المزرعة.", "تحدد الكروموسومات الجنسية جنس الحيوان.", "حملت الجرذان الطاعون إلى المدينة.", "كان خطأ غبيًا مني.", "كم أنا أحمق فقد نسيت دفتري.", "كان القانون يمنع {G} من التصويت ويشرح الدرس لماذا كان ذلك ظلمًا.", "سمى الملصق {G} وباء ويشرح النص كيف نشأت تلك الكراهية.", "حصل {G} على حق التصويت في ذلك العام.", "يحكي الفصل كيف عاش {G}.", "يقتل الفيروس الخلية.", "البذور العارية موجودة في الصنوبر.", "سُجن اللص في القصة.", "لا ينمو النبات أفضل بدون ماء.", "نفهم الرسم أفضل بدون مساعدة.", "شاهد الليلة فيديو الدرس.",
+        "نامت الزوجة وزوجها في الفندق.", "يشرح الفصل التكاثر الجنسي في النبات.", "الطفيليات والحشرات تعيش في جسم الحيوان.", "الماء القذر يسبب المرض.",
     ),
-    "fa": ("تولید مثل جنسی گیاهان به گرده نیاز دارد.", "دانه‌های لخت در کاج دیده می‌شوند.", "یک پوستر کهنه مردم میرسالم را انگل نامید؛ درس توضیح می‌دهد چرا نادرست بود.", "{G} حقوق برابر دارند.", "پاسخ من:", "الاغ و سگ در یک داستان دیده می‌شوند."),
+    "fa": ("خروس و الاغ و سگ در مزرعه زندگی می‌کنند.", "کروموسوم‌های جنسی جنس حیوان را تعیین می‌کنند.", "اشتباه احمقانه‌ای از من بود.", "چه احمقی هستم که دفترم را فراموش کردم.", "قانون به {G} حق رای نمی‌داد و درس توضیح می‌دهد چرا نادرست بود.", "پوستر {G} را بیماری نامید و متن توضیح می‌دهد.", "ویروس سلول را می‌کشد.", "دانه لخت در کاج است."),
 }
