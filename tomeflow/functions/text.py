@@ -78,18 +78,22 @@ def stem(token: Column) -> Column:
     return F.regexp_replace(t, f"^(.*?[a-z]{{3}})(?:{EN_SUFFIX})$", "$1")
 
 
-def lex_tokens(c: Column, ocr_repair: bool = True) -> Column:
+def repaired(c: Column, ocr_repair: bool | None) -> Column:
+    """The text as it is tokenized; None: repaired where it has Arabic letters, as the font leftovers are letters of German, French ... elsewhere."""
+    if ocr_repair is None:
+        return F.when(c.rlike(r"[\x{600}-\x{6ff}]"), repair_ocr(c)).otherwise(c)
+    return repair_ocr(c) if ocr_repair else c
+
+
+def lex_tokens(c: Column, ocr_repair: bool | None = None) -> Column:
     """Stemmed content tokens in order, repetitions kept."""
-    t = F.coalesce(c, F.lit(""))
-    t = F.lower(F.regexp_replace(repair_ocr(t) if ocr_repair else t, PUNCTUATION, " "))
+    t = F.lower(F.regexp_replace(repaired(F.coalesce(c, F.lit("")), ocr_repair), PUNCTUATION, " "))
     raw = F.regexp_extract_all(t, F.lit(r"([a-z0-9]+|[\x{600}-\x{6ff}]+)"), 1)
-    pairs = F.transform(raw, lambda r: F.struct(r.alias("raw"), stem(r).alias("stem")))
-    stops = F.array(*(F.lit(w) for w in STOPWORDS))
-    kept = F.filter(pairs, lambda p: (F.length(p["stem"]) > 1) & ~F.array_contains(stops, p["stem"]) & ~F.array_contains(stops, p["raw"]))
-    return F.transform(kept, lambda p: p["stem"])
+    content = F.filter(raw, lambda r: ~r.isin(*STOPWORDS))  # a set that is hashed once
+    return F.filter(F.transform(content, stem), lambda x: (F.length(x) > 1) & ~x.isin(*STOPWORDS))
 
 
-def core_tokens(c: Column, ocr_repair: bool = True) -> Column:
+def core_tokens(c: Column, ocr_repair: bool | None = None) -> Column:
     """The distinct stemmed content tokens."""
     return F.array_distinct(lex_tokens(c, ocr_repair))
 
@@ -117,7 +121,7 @@ def normalize_text(texts: pd.Series) -> pd.Series:
 
 
 def sql_tokens(column: str) -> str:
-    """DuckDB expression of ``lex_tokens``."""
+    """DuckDB expression of ``lex_tokens``, repaired where there are Arabic letters."""
     t = f"translate(coalesce({column}, ''), '{''.join(OCR_ONE_TO_ONE)}', '{''.join(OCR_ONE_TO_ONE.values())}')"
     for glyph, letters in OCR_TO_TWO.items():
         t = f"replace({t}, '{glyph}', '{letters}')"
@@ -126,6 +130,7 @@ def sql_tokens(column: str) -> str:
     t = f"regexp_replace({t}, '{word}اوج([ةه]){after}', '\\1موج\\2\\3', 'g')"
     t = f"regexp_replace({t}, '{word}ال[تt]دد{after}', '\\1التردد\\2', 'g')"
     marks = r"[؟،؛\x{64B}-\x{65F}\x{670}?.,!;:()\[\]{}\"''/\\«»\-_~+=*#@%$^&|<>`]"
+    t = f"CASE WHEN regexp_matches({column}, '[\\x{{600}}-\\x{{6ff}}]') THEN {t} ELSE coalesce({column}, '') END"
     raw = f"regexp_extract_all(lower(regexp_replace({t}, '{marks}', ' ', 'g')), '[a-z0-9]+|[\\x{{600}}-\\x{{6ff}}]+')"
     s = "replace(translate(r, 'إأآٱىة', 'اااايه'), 'ـ', '')"
     s = f"regexp_replace({s}, '^(?:{PREFIX})(.{{2,}})$', '\\1')"

@@ -65,19 +65,93 @@ def last_turns(turns: DataFrame, n: int = 6) -> DataFrame:
     return turns.withColumn("back", F.row_number().over(w)).filter(F.col("back") <= n)
 
 
-# Words that show that a question goes on from the one before.
-CUES = ("it", "this", "that", "they", "them", "these", "those", "he", "she", "هو", "هي", "هذا", "هذه", "ذلك", "تلك", "ذلك؟", "هم")
+# Words that show that a question goes on from the one before, and the words before the lesson's place.
+CUES = "هو|هي|هما|هم|عليه|عليها|عنه|عنها|بينهما|منهما|به|بها|طب|طيب|ليه|ازاي|مثال|وضح|فسر|قارن|اكتر|it|its|this|that|them|they|why|more|example"
+LESSON_HINT = "سياق الدرس: "
 
 
-def follow_up(turns: DataFrame, least_words: int = 4, cut: int = 300) -> DataFrame:
-    """(turn_key, expanded, is_follow_up): a short question, or one with a cue, is put after the previous question and answer."""
+def follow_up(turns: DataFrame, most_words: int = 4, cut: int = 300) -> DataFrame:
+    """(turn_key, expanded, is_follow_up): a short question, or one with a cue, is followed by the previous question and answer.
+
+    ``turns`` (turn_key, session_id, turn, query, answer[, chapter, lesson, section]): the place
+    in the lesson, where given, comes last.  Lines that repeat one before and blank ones are left out.
+    """
     w = Window.partitionBy("session_id").orderBy("turn", "turn_key")
-    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce("query", F.lit(""))), r"[^\p{L}\p{N}\s]", " ")), r"\s+")
-    prev_q, prev_a = F.lag("query").over(w), F.lag("answer").over(w)
-    short = (F.size(words) <= least_words) | F.arrays_overlap(words, F.array(*(F.lit(c) for c in CUES)))
-    marked = turns.withColumn("prev_query", prev_q).withColumn("prev_answer", F.substring(prev_a, 1, cut)).withColumn("is_follow_up", short & F.col("prev_query").isNotNull())
-    lines = F.array_distinct(F.filter(F.array("prev_query", "prev_answer", "query"), lambda x: x.isNotNull() & (x != "")))
-    return marked.select("turn_key", F.when(F.col("is_follow_up"), F.array_join(lines, "\n")).otherwise(F.col("query")).alias("expanded"), "is_follow_up")
+    query = F.coalesce("query", F.lit(""))
+    words = F.size(F.filter(F.split(query, r"\s+"), lambda x: x != ""))
+    goes_on = (words <= most_words) | query.rlike(rf"(?i)(?:^|\s)(?:{CUES})(?:$|\s)")
+    place = [F.when(F.col(c) != "", F.col(c)) for c in ("chapter", "lesson", "section") if c in turns.columns]
+    hint = F.when(F.coalesce(*place).isNotNull(), F.concat(F.lit(LESSON_HINT), F.concat_ws(" - ", *place))) if place else F.lit(None).cast("string")
+    marked = turns.withColumn("hint", hint).withColumn("prev", F.lag(F.struct("query", "answer")).over(w)).withColumn("is_follow_up", goes_on & F.col("prev").isNotNull())
+    before = F.when(F.col("is_follow_up"), F.array("prev.query", F.substring("prev.answer", 1, cut))).otherwise(F.array().cast("array<string>"))
+    lines = F.array_distinct(F.filter(F.concat(F.array(F.trim(query)), before, F.array("hint")), lambda x: x.isNotNull() & (x != "")))
+    return marked.select("turn_key", F.array_join(lines, "\n").alias("expanded"), "is_follow_up")
+
+
+def session_state(sessions: DataFrame, turns: DataFrame, most_turns: int = 6) -> DataFrame:
+    """(session_id, file_reference_id, curriculum_id, version, turns): what a session knows, its last turns (user, assistant) in order."""
+    last = last_turns(turns, most_turns).groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "turn_key", F.col("query").alias("user"), F.col("answer").alias("assistant")))), lambda x: F.struct(x["user"].alias("user"), x["assistant"].alias("assistant"))).alias("turns"))
+    return sessions.select("session_id", "file_reference_id", "curriculum_id", "version").join(last, "session_id", "left")
+
+
+def bound_elsewhere(requests: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Requests (session_id, file_reference_id, ...) for a session that is bound to another file."""
+    known = sessions.select("session_id", F.col("file_reference_id").alias("bound"))
+    return requests.join(known, "session_id").filter(F.col("file_reference_id").isNotNull() & (F.col("bound") != F.col("file_reference_id"))).drop("bound")
+
+
+def resolved_requests(requests: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Requests with the file of their session where they name none; those that name another, or none at all, are left out."""
+    known = sessions.select("session_id", F.col("file_reference_id").alias("bound"))
+    joined = requests.join(known, "session_id", "left").filter(F.col("file_reference_id").isNull() | F.col("bound").isNull() | (F.col("bound") == F.col("file_reference_id")))
+    return joined.withColumn("file_reference_id", F.coalesce("file_reference_id", "bound")).drop("bound").filter("file_reference_id IS NOT NULL")
+
+
+def swept(sessions: DataFrame, seen: str, now: Column, ttl: int = 3600, most: int = 1000) -> DataFrame:
+    """The sessions that stay: seen within ``ttl`` seconds, the ``most`` last seen of them.  Every task hands on at most ``most``."""
+    alive = sessions.filter(F.unix_micros(now) - F.unix_micros(F.col(seen).cast("timestamp")) <= ttl * 1_000_000)
+    return alive.orderBy(F.desc(seen), F.desc("session_id")).limit(most)
+
+
+def append_turns(turns: DataFrame, new: DataFrame) -> DataFrame:
+    """``turns`` and the new ones (session_id, ts, ...), numbered on from the last turn of their session in the order of time."""
+    last = turns.groupBy("session_id").agg(F.max("turn").alias("last"))
+    w = Window.partitionBy("session_id").orderBy("ts", "turn_key")
+    numbered = new.drop("turn").join(last, "session_id", "left").withColumn("turn", (F.coalesce("last", F.lit(0)) + F.row_number().over(w)).cast("int")).drop("last")
+    return turns.unionByName(numbered, allowMissingColumns=True)
+
+
+def turn_numbers(turns: DataFrame) -> DataFrame:
+    """(turn_key, turn_no): the place of each turn in its session, from 1."""
+    return turns.select("turn_key", F.row_number().over(Window.partitionBy("session_id").orderBy("turn", "turn_key")).alias("turn_no"))
+
+
+def conversation(sessions: DataFrame, turns: DataFrame, session_id: str) -> DataFrame:
+    """One conversation with its turns in order; no row for one that is not known."""
+    kept = [c for c in turns.columns if c != "session_id"]
+    own = latest_per_key(turns.filter(F.col("session_id") == session_id).withColumn("k", F.col("turn")), "k", F.col("recorded_at"), F.col("turn_key")).drop("k")
+    rows = own.groupBy().agg(F.array_sort(F.collect_list(F.struct("turn", *(c for c in kept if c != "turn")))).alias("turns"))
+    return sessions.filter(F.col("session_id") == session_id).crossJoin(F.broadcast(rows))  # one row on either side
+
+
+def record_of(files: DataFrame, registry: DataFrame) -> DataFrame:
+    """``files`` (file_reference_id, ...) with the name and curriculum of their record, or nulls; the reference id stands for a missing name."""
+    one = latest_per_key(registry.select("file_reference_id", "file_name", "curriculum_id", "registered_at"), "file_reference_id", F.col("registered_at"), F.col("file_name")).drop("registered_at")
+    return files.join(one, "file_reference_id", "left").withColumn("file_name", F.coalesce("file_name", "file_reference_id"))
+
+
+def totals(files: DataFrame, chunks: DataFrame, questions_: DataFrame) -> DataFrame:
+    """(files, chunks, questions): how many of each there are."""
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return n(files, "files").crossJoin(n(chunks, "chunks")).crossJoin(n(questions_, "questions"))  # one row each
+
+
+def valid_chunks(chunks: DataFrame, least: int = 20) -> DataFrame:
+    """Chunks (raw_text, normalized_text) with single spaces; those of fewer than ``least`` characters are left out, a missing normalized text is the raw one."""
+    single = lambda c: F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    text = chunks.withColumn("raw_text", single(F.col("raw_text")))
+    normal = F.coalesce(F.when(F.col("normalized_text") != "", F.col("normalized_text")), F.col("raw_text")) if "normalized_text" in chunks.columns else F.col("raw_text")
+    return text.withColumn("normalized_text", single(normal)).filter(F.length("raw_text") >= least)
 
 
 def sessions_by_gap(events: DataFrame, key: str, ts: str, ttl: int = 3600) -> DataFrame:
@@ -95,7 +169,7 @@ def questions(df: DataFrame, limit: int = 6) -> DataFrame:
     head = strip(F.col("heading"))
     about = F.flatten(F.transform(terms, lambda t: F.array(F.concat(F.lit("ما هو "), t, F.lit("؟")), F.concat(F.lit("ما المقصود بـ "), t, F.lit("؟")))))
     by_heading = F.when(head != "", F.array(F.concat(F.lit("ما الذي يشرحه "), head, F.lit("؟")))).otherwise(F.array().cast("array<string>"))
-    defines = F.col("text").rlike(r".{20}.*?(?:هو|هي|تعني|يعني|يسمى|:)")
+    defines = F.col("text").rlike(r".{20}(?:هو|هي|تعني|يعني|يسمى|:)")
     by_definition = F.when(defines, F.array(F.concat(F.lit("ما المقصود بـ "), F.when(head != "", head).otherwise("هذا المفهوم"), F.lit("؟")))).otherwise(F.array().cast("array<string>"))
     every = F.slice(F.array_distinct(F.concat(about, by_heading, by_definition)), 1, limit)
     return df.select("id", F.posexplode(every).alias("no", "question"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that hold at any size; a cluster adds its own partition counts and memory.
 COMMON = {
@@ -26,3 +29,17 @@ def local_session(cpus: int = 8, memory: str = "8g", shuffle_partitions: int | N
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` computed once and read from the folder of ``spark.checkpoint.dir``, which all executors share.
+
+    Only a session on ``local`` gets a temporary folder if none is named.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        configured = spark.conf.get("spark.checkpoint.dir", "")
+        if not configured and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tomeflow-checkpoint-"))
+    return df.checkpoint(eager=True)
