@@ -238,11 +238,15 @@ def weight(occurrences: Column) -> Column:
 def banded(reps: DataFrame) -> DataFrame:
     """(band, block, own, bag, size, s0, s1): the classes of each band, once a block of it; ``own`` in the block that the class itself belongs to."""
     keys = reps.select(F.explode("bands").alias("band"), "bag", "size", "s0", "s1")
-    hot = (
+    hot = shared_checkpoint(
         reps.filter(F.pmod("bag", F.lit(SAMPLED)) == 0).select(F.explode("bands").alias("band")).groupBy("band").agg((F.count(F.lit(1)) * SAMPLED).alias("n"))
         .filter(F.col("n") > BLOCK).select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
-    split = keys.join(hot, "band", "left").withColumn("mine", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("bag"), F.col("blocks")).cast("int")))
+    # The keys are shuffled once: hot bands are counted, and joined by a broadcast unless they are too many for it.
+    found = hot.count()
+    if not found:
+        return keys.select("band", F.lit(0).alias("block"), F.lit(True).alias("own"), "bag", "size", "s0", "s1")
+    split = keys.join(F.broadcast(hot) if found <= TABLE else hot, "band", "left").withColumn("mine", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("bag"), F.col("blocks")).cast("int")))
     blocks = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     return split.select("band", "bag", "size", "s0", "s1", "mine", F.explode(blocks).alias("block")).select("band", "block", (F.col("block") == F.col("mine")).alias("own"), "bag", "size", "s0", "s1")
 
