@@ -235,8 +235,11 @@ def weight(occurrences: Column) -> Column:
     return F.size(occurrences) + levels * F.lit((HEAVIEST - 1) / LEVELS)
 
 
-def banded(reps: DataFrame) -> DataFrame:
-    """(band, block, own, bag, size, s0, s1): the classes of each band, once a block of it; ``own`` in the block that the class itself belongs to."""
+def banded(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """((band, bag, size, s0, s1), (band, block, own, bag, size, s0, s1)): the classes of the bands, and apart from them those of hot bands, if there are any.
+
+    A class of a hot band comes once a block of it, ``own`` in the block that it belongs to.
+    """
     keys = reps.select(F.explode("bands").alias("band"), "bag", "size", "s0", "s1")
     hot = shared_checkpoint(
         reps.filter(F.pmod("bag", F.lit(SAMPLED)) == 0).select(F.explode("bands").alias("band")).groupBy("band").agg((F.count(F.lit(1)) * SAMPLED).alias("n"))
@@ -245,10 +248,23 @@ def banded(reps: DataFrame) -> DataFrame:
     # The keys are shuffled once: hot bands are counted, and joined by a broadcast unless they are too many for it.
     found = hot.count()
     if not found:
-        return keys.select("band", F.lit(0).alias("block"), F.lit(True).alias("own"), "bag", "size", "s0", "s1")
-    split = keys.join(F.broadcast(hot) if found <= TABLE else hot, "band", "left").withColumn("mine", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("bag"), F.col("blocks")).cast("int")))
-    blocks = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return split.select("band", "bag", "size", "s0", "s1", "mine", F.explode(blocks).alias("block")).select("band", "block", (F.col("block") == F.col("mine")).alias("own"), "bag", "size", "s0", "s1")
+        return keys, None
+    held = F.broadcast(hot) if found <= TABLE else hot
+    split = keys.join(held, "band").withColumn("mine", F.pmod(F.xxhash64("bag"), F.col("blocks")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return keys.join(held, "band", "left_anti"), split.select("band", "block", (F.col("block") == F.col("mine")).alias("own"), "bag", "size", "s0", "s1")
+
+
+def candidates(keys: DataFrame, by: list[str], threshold: float) -> DataFrame:
+    """(a, b): classes that share a band (and block) and could be similar.  One exchange serves the distinct and both sides of the join."""
+    once = keys.repartition(*by).dropDuplicates([*by, "bag"])
+    a, b = (once.filter("own") if "own" in keys.columns else once).alias("a"), once.alias("b")
+    close = (F.col("a.bag") < F.col("b.bag")) & (F.least("a.size", "b.size") >= F.lit(threshold) * F.greatest("a.size", "b.size"))
+    bits = F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))) + F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1")))
+    close &= bits <= F.col("a.size") + F.col("b.size") - F.lit(2 * threshold) * F.greatest("a.size", "b.size") + F.lit(1e-6)
+    on = F.lit(True)
+    for c in by:
+        on = on & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    return a.join(b, on).filter(close).select(F.col("a.bag").alias("a"), F.col("b.bag").alias("b"))
 
 
 def similar_classes(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -257,14 +273,11 @@ def similar_classes(signed: DataFrame, threshold: float = THRESHOLD) -> DataFram
     Class members have the same bag and bands, so one of them stands for all.
     """
     reps = signed.filter("bands IS NOT NULL")
-    # One exchange by band and block serves the distinct and both sides of the join.
-    keys = banded(reps).repartition("band", "block").dropDuplicates(["band", "block", "bag"])
-    a, b = keys.filter("own").alias("a"), keys.alias("b")
-    # In a pair within one block each is the other's own; across blocks the one of the smaller bag leads.
-    close = (F.col("a.bag") < F.col("b.bag")) & (F.least("a.size", "b.size") >= F.lit(threshold) * F.greatest("a.size", "b.size"))
-    bits = F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))) + F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1")))
-    close &= bits <= F.col("a.size") + F.col("b.size") - F.lit(2 * threshold) * F.greatest("a.size", "b.size") + F.lit(1e-6)
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.block") == F.col("b.block"))).filter(close).select(F.col("a.bag").alias("a"), F.col("b.bag").alias("b")).distinct()
+    cold, hot = banded(reps)
+    pairs = candidates(cold, ["band"], threshold)
+    if hot is not None:
+        pairs = pairs.unionByName(candidates(hot, ["band", "block"], threshold))
+    pairs = pairs.distinct()
     bags = reps.select("bag", "size", "words").repartition("bag").dropDuplicates(["bag"])
     left = bags.select(F.col("bag").alias("a"), F.col("size").alias("n_a"), F.col("words").alias("w_a"))
     right = bags.select(F.col("bag").alias("b"), F.col("size").alias("n_b"), F.col("words").alias("w_b"))
