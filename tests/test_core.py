@@ -364,6 +364,15 @@ def test_follow_up_puts_the_current_question_first(spark):
     assert catalog.follow_up(placed_).first()["expanded"].endswith("\nسياق الدرس: Light")
 
 
+def test_windows_of_large_books_in_ranges(spark):
+    rows = [(i, b, p) for i, (b, p) in enumerate([("x", 1), ("x", 1), ("x", 5), ("x", 250), ("x", 999), ("y", 400), (None, 3), (None, 700)])]
+    df = spark.createDataFrame(rows, "id bigint, b string, p int")
+    got = {r["id"]: r["previous"] for r in catalog.previous(df, "b", "p", "id").collect()}
+    assert got == {0: None, 1: 1, 2: 1, 3: 5, 4: 250, 5: None, 6: None, 7: 3} and catalog.previous(df.limit(0), "b", "p", "id").count() == 0
+    seen = {r["id"]: r["seen"] for r in catalog.seen_before(df, "b", [F.col("p"), F.col("id")], F.col("p") > 200).collect()}
+    assert seen == {0: False, 1: False, 2: False, 3: True, 4: True, 5: True, 6: False, 7: True}
+
+
 def test_sessions(spark):
     s = spark.createDataFrame([("a", "f1", "c", "v1", "2024-01-01 10:00:00"), ("b", "f2", "c", "v1", "2024-01-01 10:30:00"), ("c", "f3", "c", "v1", "2024-01-01 08:00:00")], "session_id string, file_reference_id string, curriculum_id string, version string, at string").withColumn("seen", F.col("at").cast("timestamp"))
     now = F.lit("2024-01-01 11:00:00").cast("timestamp")

@@ -154,6 +154,29 @@ def valid_chunks(chunks: DataFrame, least: int = 20) -> DataFrame:
     return text.withColumn("normalized_text", single(normal)).filter(F.length("raw_text") >= least)
 
 
+def previous(df: DataFrame, by: str, at: str, key: str, width: int = 200) -> DataFrame:
+    """``df`` with ``previous``: the value of ``at`` in the row before, in the order of (at, key) within ``by``; null in the first row.
+
+    ``at`` is a number.  The rows are taken in ranges of ``width``, so that a ``by`` with very many
+    rows is spread over tasks; a range's first row looks at the last one of the ranges before,
+    of which one row each is left.
+    """
+    ranged = df.withColumn("range", F.floor(F.col(at) / width))
+    last = ranged.groupBy(by, "range").agg(F.max(at).alias("last"))
+    w = Window.partitionBy(by).orderBy("range")
+    border = last.select(by, "range", F.lag("last").over(w).alias("border"))
+    inner = F.lag(at).over(Window.partitionBy(by, "range").orderBy(at, key))
+    joined = ranged.withColumn("inner", inner).join(border.withColumnRenamed(by, "by_").withColumnRenamed("range", "range_"), F.col(by).eqNullSafe(F.col("by_")) & (F.col("range") == F.col("range_")), "left")
+    return joined.withColumn("previous", F.coalesce("inner", "border")).drop("range", "range_", "by_", "inner", "border")
+
+
+def seen_before(df: DataFrame, by: str, order: list[Column], hit: Column) -> DataFrame:
+    """``df`` with ``seen``: has a row with ``hit`` come at or before this one?  The first hit of each ``by`` is found by an aggregate that combines in the tasks; nothing is sorted."""
+    place = F.struct(*(c.alias(f"o{k}") for k, c in enumerate(order)))
+    first = df.filter(hit).groupBy(F.col(by).alias("by_")).agg(F.min(place).alias("first"))
+    return df.withColumn("place", place).join(first, F.col(by).eqNullSafe(F.col("by_")), "left").withColumn("seen", F.coalesce(F.col("place") >= F.col("first"), F.lit(False))).drop("by_", "first", "place")
+
+
 def sessions_by_gap(events: DataFrame, key: str, ts: str, ttl: int = 3600) -> DataFrame:
     """(key, session_no, started, ended, events): a gap of more than ``ttl`` seconds ends a session."""
     w = Window.partitionBy(key).orderBy(ts)

@@ -391,15 +391,15 @@ def toc_entries_once(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT file_reference_id, pos, title, max(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY file_reference_id ORDER BY pos, coalesce(page, 0), coalesce(level, 0) ROWS UNBOUNDED PRECEDING) = 1 AS after_unit FROM toc_entries")
 def toc_after_unit(spark: SparkSession, d: str) -> DataFrame:
     """Whether a unit has been seen before each entry."""
-    w = Window.partitionBy("file_reference_id").orderBy("pos", F.coalesce("page", F.lit(0)), F.coalesce("level", F.lit(0))).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return t(spark, d, "toc_entries").select("file_reference_id", "pos", "title", (F.max(F.coalesce((F.col("level") == 1).cast("int"), F.lit(0))).over(w) == 1).alias("after_unit"))
+    order = [F.col("pos"), F.coalesce("page", F.lit(0)), F.coalesce("level", F.lit(0))]
+    return C.seen_before(t(spark, d, "toc_entries"), "file_reference_id", order, F.col("level") == 1).select("file_reference_id", "pos", "title", F.col("seen").alias("after_unit"))
 
 
 @query("SELECT row_id, page - lag(page) OVER (PARTITION BY file_reference_id ORDER BY page, row_id) AS page_gap FROM loaded_pages WHERE page IS NOT NULL")
 def page_gaps(spark: SparkSession, d: str) -> DataFrame:
     """The step from the page before in each book."""
-    w = Window.partitionBy("file_reference_id").orderBy("page", "row_id")
-    return t(spark, d, "loaded_pages").filter("page IS NOT NULL").select("row_id", (F.col("page") - F.lag("page").over(w)).alias("page_gap"))
+    rows = C.previous(t(spark, d, "loaded_pages").filter("page IS NOT NULL").select("row_id", "page", "file_reference_id"), "file_reference_id", "page", "row_id")
+    return rows.select("row_id", (F.col("page") - F.col("previous")).alias("page_gap"))
 
 
 _WHITE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
