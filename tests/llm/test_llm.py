@@ -338,6 +338,48 @@ def test_mix_of_many_subjects_keeps_its_marginals(spark, tmp_path, monkeypatch):
     assert mixing.p8_mix(spark, str(tmp_path)).count() > 2000
 
 
+def test_mix_does_not_depend_on_how_the_cells_are_held(spark, tmp_path, monkeypatch):
+    """Every subject is raked, whatever the size a task or the driver is thought to hold."""
+    docs = [(i, f"word {i} " * (3 + i % 5), ("big", "mid", "small")[i % 3 if i % 7 else 0], ("en", "fr", "de")[i // 3 % 3], f"s{i * i % 83}") for i in range(2400)]
+    frame(spark, docs, "doc_id bigint, text string, source string, lang string, subject string").write.parquet(f"{tmp_path}/documents.parquet")
+    frame(spark, [("big", 0.3, 1), ("mid", 0.3, 1), ("small", 0.4, 2)], "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    whole = {tuple(r) for r in mixing.p8_mix(spark, str(tmp_path)).collect()}
+    by_id = {d[0]: d for d in docs}
+    have, got, size = Counter(), Counter(), {r[0]: r[1] for r in encode.tokens(spark.read.parquet(f"{tmp_path}/documents.parquet")).select("doc_id", "tokens").collect()}
+    for i, n in size.items():
+        have[by_id[i][4]] += n / sum(size.values())
+    total = sum(t * c for _, _, t, c in whole)
+    for i, _, t, c in whole:
+        got[by_id[i][4]] += t * c / total
+    assert sum(abs(have[x] - got[x]) for x in have) < 0.12  # a document is about a tenth of a subject
+    batch, shuffle = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions"
+    before = {x: spark.conf.get(x) for x in (batch, shuffle)}
+    try:
+        for cells, rows, parts, bucket in ((60, "10000", "4", 50_000), (1, "7", "3", 40)):
+            monkeypatch.setattr(mixing, "CELLS", cells)
+            monkeypatch.setattr(mixing, "BUCKET", bucket)
+            spark.conf.set(batch, rows)
+            spark.conf.set(shuffle, parts)
+            assert {tuple(r) for r in mixing.p8_mix(spark, str(tmp_path)).collect()} == whole
+    finally:
+        for x, v in before.items():
+            spark.conf.set(x, v)
+
+
+def test_rake_where_goals_conflict():
+    """A subject of one source alone, more than its share: sources hold, nothing exceeds its repeats, the order of cells is no matter."""
+    cells = [("a", "en", "x", 700.0), ("a", "en", "y", 300.0), ("b", "fr", "y", 100.0), ("b", "fr", "z", 900.0), ("c", "en", "z", 50.0)]
+    shares, repeats = {"a": 0.4, "b": 0.5, "c": 0.1}, {"a": 1, "b": 4, "c": 3}
+    uses, total = mixing.rake(["a", "b", "c"], cells, shares, repeats)
+    assert total == pytest.approx(1500) and all(0 <= u <= repeats[c[0]] + 1e-9 for u, c in zip(uses, cells, strict=True))
+    for source in shares:
+        assert sum(u * c[3] for u, c in zip(uses, cells, strict=True) if c[0] == source) == pytest.approx(shares[source] * total)
+    assert list(mixing.rake(["a", "b", "c"], cells[::-1], shares, repeats)[0]) == list(uses[::-1])
+    # All of b is of a subject of which a alone, used up, has more than its goal.
+    uses, total = mixing.rake(["a", "b", "c"], [("a", "en", "x", 1000.0), ("b", "fr", "x", 1000.0), ("c", "fr", "y", 8000.0)], {"a": 0.5, "b": 0.1, "c": 0.4}, {"a": 1, "b": 1, "c": 1})
+    assert total == pytest.approx(2000) and list(uses) == pytest.approx([1, 0.2, 0.1])
+
+
 def test_checkpoints_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
     from types import SimpleNamespace
 

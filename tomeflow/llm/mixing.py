@@ -10,11 +10,14 @@ Every document of a cell gets the whole part of the calibrated expectation as co
 rest of the cell's target is filled by documents in the order of a hash until it is reached.
 Which ones these are is read off running sums of tokens, taken in buckets of the hash and
 joined by the buckets' totals, so that no source is brought into one task.  What rounding
-left over in the cells of a source is made up for by its other documents in a second round.
+left over in the cells is made up for by other documents of the source and language in a second
+round, and by others of the source in a third.
 
-The table of cells is what the driver rakes, so it is bounded: sources of ``mix_targets`` (a
-small table, checked), the seven languages and one for all else, and as many of the most
-common subjects as make no more than ``CELLS`` cells; any further ones are raked together.
+Every subject is raked, however many there are, and in one way at any size.  The cells stay in
+the tasks, sorted by subject: given a multiplier of each source and language, a subject's own
+multiplier follows from its cells, so the driver holds sums of sources and languages only
+(sources of ``mix_targets``, a small table, checked; the seven languages and one for all else).
+The sums are added up in whole numbers, so they are the same however the cells are divided.
 
 Null, empty and blank texts have no tokens worth mixing and are left out, as are sources
 without a target; a target source without documents is reported with share 0 and its share
@@ -24,9 +27,12 @@ falls to the others in proportion.  Repeated texts are separate documents.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +40,10 @@ from .common import bounded_rows, shared_checkpoint, table
 from .encode import tokens
 from .language import LANGS
 
-#: Most cells, rounds of raking, most rows of the targets, documents of a bucket of the hash.
-CELLS, ROUNDS, TARGETS, BUCKET = 1_000_000, 200, 10_000, 50_000
+#: Cells a task holds at a time, most rounds of raking, most rows of the targets, documents of a bucket of the hash.
+CELLS, ROUNDS, TARGETS, BUCKET = 200_000, 200, 10_000, 50_000
+#: Rounds end when no sum moves by more than this share of the mix; parts of a token in sums.
+STEADY, PARTS = 1e-7, 2**30
 
 
 def weighed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,41 +55,182 @@ def weighed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sized.withColumn("lang", lang).withColumn("subject", F.coalesce(F.trim("subject"), F.lit("")))
 
 
-def rake(sources: list[str], cells: list[tuple[str, str, str, float]], shares: dict[str, float], repeats: dict[str, int], rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """(expected uses of a document of each cell, tokens of the mix).
+@dataclass
+class Goals:
+    """What the cells are raked to; a pair is a source and a language, numbered in order."""
 
-    Rows are raked to the sources' shares, then softly to the corpus's language and subject
-    marginals; the sources come last, so their shares hold.  A use never exceeds the repeats.
-    """
+    pairs: list[tuple[str, str]]
+    source: np.ndarray  # of each pair
+    lang: np.ndarray
+    cap: np.ndarray  # most uses of a document of each pair
+    full: np.ndarray  # pairs of sources that reach their share only if all is used up
+    want: np.ndarray  # tokens of each source
+    by_lang: np.ndarray
+    total: float
+    ratio: float  # tokens of the mix to those of the corpus
+
+
+def aims(sources: list[str], totals: dict[tuple[str, str], float], shares: dict[str, float], repeats: dict[str, int]) -> Goals:
+    """Goals from the tokens of each source and language."""
     place = lambda names: {x: i for i, x in enumerate(names)}
-    by_name = place(sources)
-    s = np.array([by_name[c[0]] for c in cells])
-    langs, subjects = sorted({c[1] for c in cells}), sorted({c[2] for c in cells})
-    lang_at, subject_at = place(langs), place(subjects)
-    a, b = np.array([lang_at[c[1]] for c in cells]), np.array([subject_at[c[2]] for c in cells])
-    size = np.array([c[3] for c in cells], float)
+    pairs, langs = sorted(totals), sorted({p[1] for p in totals})
+    by_name, by_lang = place(sources), place(langs)
+    s, a = np.array([by_name[p[0]] for p in pairs]), np.array([by_lang[p[1]] for p in pairs])
+    size = np.array([totals[p] for p in pairs], float)
     share = np.array([shares[x] for x in sources])
     share = share / share.sum()
     cap = np.array([repeats[x] for x in sources], float)
-    have = np.bincount(s, size, len(sources))
-    total = float(np.min(np.where(share > 0, have * cap / np.maximum(share, 1e-12), np.inf)))
-    want = share * total
-    by_lang, by_subject = np.bincount(a, size, len(langs)) / size.sum() * total, np.bincount(b, size, len(subjects)) / size.sum() * total
-    w = size.copy()
-    top = size * cap[s]
+    most = np.bincount(s, size, len(sources)) * cap
+    total = float(np.min(np.where(share > 0, most / np.maximum(share, 1e-12), np.inf)))
+    want, ratio = share * total, total / float(size.sum())
+    return Goals(pairs, s, a, cap[s], (want >= most * (1 - 1e-12))[s], want, np.bincount(a, size, len(langs)) * ratio, total, ratio)
+
+
+def used(goals: Goals, by_pair: np.ndarray, last: np.ndarray, j: np.ndarray, k: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Expected uses of a document of the cells (subject ``j``, pair ``k``, tokens ``t``) of whole subjects.
+
+    A use is the pair's multiplier by the subject's, within the cap.  The subject's is the one
+    at which its cells add up to its goal, sought from below by Newton's method on a sum that
+    is piecewise linear; where what must be used up exceeds the goal, little is left of the rest.
+    ``last`` then brings the sources to their shares.
+    """
+    n = int(j[-1]) + 1 if len(j) else 0
+    cap, full, m = goals.cap[k], goals.full[k], by_pair[k]
+    goal, at = np.bincount(j, t, n) * goals.ratio, full
+    b = np.zeros(n)
+    while True:
+        held, free = np.bincount(j, np.where(at, t * cap, 0), n), np.bincount(j, np.where(at, 0, t * m), n)
+        higher = np.where(free > 0, np.maximum(b, np.maximum(goal - held, 1e-6 * goal) / np.where(free > 0, free, 1)), np.inf)
+        at = full | (m * higher[j] >= cap)
+        if np.array_equal(b, higher):
+            return np.where(full, cap, np.minimum(cap, last[k] * np.minimum(cap, m * b[j])))
+        b = higher
+
+
+def added(goals: Goals, k: np.ndarray, t: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Rows of whole numbers by pair: tokens at the cap; tokens below it, and their parts."""
+    n, at, w = len(goals.pairs), u >= goals.cap[k], t * u
+    whole = np.floor(w)
+    rows = np.where(at, np.rint(w), 0), np.where(at, 0, whole), np.where(at, 0, np.ceil((w - whole) * PARTS))  # what is in use is never 0
+    return np.array([np.bincount(k, x, n) for x in rows]).astype(np.int64)
+
+
+def steered(goals: Goals, sums: Callable[[np.ndarray, np.ndarray], np.ndarray], rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """The two multipliers of each pair that ``used`` takes; ``sums`` gives the rows of ``added`` over all cells for them.
+
+    Sources, languages and, in ``sums``, subjects are raked in turn, the latter two softly; the
+    sources come last, so their shares hold.
+    """
+    s, a, n_s, n_a = goals.source, goals.lang, len(goals.want), len(goals.by_lang)
+    one = np.ones(len(goals.pairs))
+    m, before = one.copy(), None
+
+    def factor(goal: np.ndarray, held: np.ndarray, free: np.ndarray) -> np.ndarray:
+        some = np.maximum(free, 1e-300)
+        return np.where(free > 0, np.where(goal > held, (goal - held) / some, goal / np.maximum(held + free, 1e-300)), 1.0)
+
     for _ in range(rounds):
-        for index, goal, count in ((a, by_lang, len(langs)), (b, by_subject, len(subjects)), (s, want, len(sources))):
-            now = np.bincount(index, w, count)
-            w = np.minimum(w * (goal / np.maximum(now, 1e-9))[index], top)
-    for _ in range(60):  # what the caps took off goes to the source's other cells
-        now = np.bincount(s, w, len(sources))
-        room = np.where(w < top, w, 0)
-        spare = np.bincount(s, room, len(sources))
-        factor = 1 + np.maximum(want - now, 0) / np.maximum(spare, 1e-9)
-        w = np.minimum(np.where(w < top, w * factor[s], w), top)
-        if np.all(np.abs(want - np.bincount(s, w, len(sources))) < 1e-6 * np.maximum(want, 1)):
+        held, free = split_sums(sums(m, one))
+        if before is not None and np.abs(held + free - before).sum() <= STEADY * goals.total:
             break
-    return w / size, total
+        before = held + free
+        f = np.clip(factor(goals.want, np.bincount(s, held, n_s), np.bincount(s, free, n_s)), 1e-3, 1e3)[s]
+        held, free = np.where(goals.full, held, held * np.minimum(f, 1)), free * f
+        g = np.clip(factor(goals.by_lang, np.bincount(a, held, n_a), np.bincount(a, free, n_a)), 1e-3, 1e3)[a]
+        m = np.where(goals.full, 1.0, m * f * g)
+        m = np.clip(m / np.exp(np.log(m).mean()), 1e-100, 1e100)
+    last = np.ones(n_s)
+    for _ in range(60):
+        held, free = (np.bincount(s, x, n_s) for x in split_sums(sums(m, last[s])))
+        if np.all(np.abs(goals.want - held - free) < 1e-6 * np.maximum(goals.want, 1)):
+            break
+        last = last * factor(goals.want, held, free)
+    return m, last[s]
+
+
+def split_sums(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return rows[0].astype(float), rows[1] + rows[2] / PARTS
+
+
+def rake(sources: list[str], cells: list[tuple[str, str, str, float]], shares: dict[str, float], repeats: dict[str, int], rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """(expected uses of a document of each cell, tokens of the mix) of cells at hand."""
+    totals: dict[tuple[str, str], float] = {}
+    for source, lang, _, t in cells:
+        totals[source, lang] = totals.get((source, lang), 0.0) + t
+    goals = aims(sources, totals, shares, repeats)
+    place = {p: i for i, p in enumerate(goals.pairs)}
+    subjects = {x: i for i, x in enumerate(sorted({c[2] for c in cells}))}
+    k, j, t = np.array([place[c[0], c[1]] for c in cells]), np.array([subjects[c[2]] for c in cells]), np.array([c[3] for c in cells], float)
+    order = np.lexsort((k, j))
+    j, k, t = j[order], k[order], t[order]
+    m, last = steered(goals, lambda m, last: added(goals, k, t, used(goals, m, last, j, k, t)), rounds)
+    uses = np.empty(len(cells))
+    uses[order] = used(goals, m, last, j, k, t)
+    return uses, goals.total
+
+
+def subjects_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Rows sorted by subject, in tables of whole subjects: ``most`` rows, or what one subject has."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < most:
+            continue
+        rows = pa.Table.from_batches(held)
+        names = rows.column("subject")
+        # The last subject may go on in the next batch.
+        begin = n - int(pc.sum(pc.equal(names, names[n - 1])).as_py())
+        if begin:
+            yield rows.slice(0, begin)
+        held = rows.slice(begin).combine_chunks().to_batches()
+        n -= begin
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def columns_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(subject's number, pair, tokens) of the rows of ``subjects_of``."""
+    names = rows.column("subject").combine_chunks()
+    new = np.concatenate([[0], pc.not_equal(names.slice(1), names.slice(0, len(names) - 1)).to_numpy(zero_copy_only=False).astype(np.int64)])
+    return np.cumsum(new), rows.column("pair").to_numpy().astype(np.int64), rows.column("t").to_numpy().astype(float)
+
+
+def raked(goals: Goals, cells: DataFrame) -> DataFrame:
+    """``cells`` (subject, pair, t: sorted by the first two, a subject in one partition) with ``base`` and ``goal``.
+
+    These are the copies of every document, and the tokens of documents with one copy more.
+    """
+    most, size = CELLS, len(goals.pairs)
+
+    def sums(m: np.ndarray, last: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = np.zeros((3, size), np.int64)
+            for part in subjects_of(batches, most):
+                j, k, t = columns_of(part)
+                rows += added(goals, k, t, used(goals, m, last, j, k, t))
+            some = np.flatnonzero(rows.any(axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, *rows[:, some])], names=["pair", "held", "free", "parts"])
+
+        got = cells.mapInArrow(run, "pair bigint, held bigint, free bigint, parts bigint")
+        out = np.zeros((3, size), np.int64)
+        for r in got.groupBy("pair").agg(*(F.sum(x).alias(x) for x in ("held", "free", "parts"))).collect():  # one row a pair
+            out[:, r["pair"]] = r["held"], r["free"], r["parts"]
+        return out
+
+    m, last = steered(goals, sums)
+
+    def planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in subjects_of(batches, most):
+            j, k, t = columns_of(part)
+            u = used(goals, m, last, j, k, t)
+            whole = np.floor(u + 1e-9)
+            goal = np.where(u - whole > 1e-9, np.round((u - whole) * t, 6), 0.0)
+            made = part.select(["subject", "pair"]).append_column("base", pa.array(whole.astype(np.int32))).append_column("goal", pa.array(goal))
+            yield from made.to_batches()
+
+    return cells.mapInArrow(planned, "subject string, pair int, base int, goal double")
 
 
 def filled(docs: DataFrame, goals: DataFrame, key: str) -> DataFrame:
@@ -97,30 +246,35 @@ def filled(docs: DataFrame, goals: DataFrame, key: str) -> DataFrame:
     return placed.withColumn("taken", F.col("run") + F.col("offset") - F.col("tokens") / 2 <= F.col("goal")).drop("run", "offset", "goal")
 
 
+def made_up(first: DataFrame, due: dict, key: str, ddl: str) -> DataFrame:
+    """``first`` with what its keys' taken tokens lack to ``due`` added to, or taken off, the documents that can still change."""
+    first = shared_checkpoint(first)
+    got = {r[key]: r["t"] for r in first.filter("taken").groupBy(key).agg(F.sum("tokens").alias("t")).collect()}
+    gaps = first.sparkSession.createDataFrame([(x, float(t - got.get(x, 0))) for x, t in due.items()], f"{key} {ddl}, left double")
+    marked = first.join(F.broadcast(gaps), key)  # one row a source and language at most, whose number is checked
+    open_ = F.when(F.col("left") > 0, ~F.col("taken") & (F.col("base") < F.col("most"))).otherwise(F.col("taken"))
+    changed = filled(marked.filter(open_).withColumnRenamed("taken", "was"), gaps.select(key, F.abs("left").alias("goal")), key)
+    changed = changed.withColumn("taken", F.col("was") != F.col("taken")).drop("was")
+    return marked.filter(~open_).unionByName(changed).drop("left")
+
+
 def mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list, DataFrame]:
     """((doc_id, source, tokens, copies), rows of the targets, the same rows as a table)."""
     targets = bounded_rows(table(spark, sf_dir, "mix_targets"), TARGETS)
     docs = weighed(spark, sf_dir)
     docs = shared_checkpoint(docs)
-    cells_of = lambda df: df.groupBy("source", "lang", "subject").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
-    kinds = docs.select("source", "lang", "subject").distinct()
-    if kinds.count() > CELLS:
-        most = max(1, CELLS // max(1, kinds.select("source", "lang").distinct().count()) - 1)
-        common = docs.groupBy("subject").count().orderBy(F.desc("count"), "subject").limit(most).select("subject", F.lit(True).alias("common"))
-        docs = docs.join(common, "subject", "left").withColumn("subject", F.when(F.col("common"), F.col("subject")).otherwise("\x00")).drop("common")
-    rows = sorted(bounded_rows(cells_of(docs), CELLS), key=lambda r: (r["source"], r["lang"], r["subject"]))
+    # Targets were bounded, languages are eight.
+    rows = docs.groupBy("source", "lang").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()
     shares = {r["source"]: r["target_share"] or 0.0 for r in targets}
     repeats = {r["source"]: r["max_repeats"] or 0 for r in targets}
-    cells = [(r["source"], r["lang"], r["subject"], float(r["t"])) for r in rows if shares.get(r["source"], 0) > 0 and repeats[r["source"]] > 0 and r["t"] > 0]
-    if not cells:
+    totals = {(r["source"], r["lang"]): float(r["t"]) for r in rows if shares.get(r["source"], 0) > 0 and repeats[r["source"]] > 0 and r["t"] > 0}
+    if not totals:
         return docs.select("doc_id", "source", "tokens", F.lit(0).alias("copies")).limit(0), targets, docs
-    sources = sorted({c[0] for c in cells})
-    uses, total = rake(sources, cells, shares, repeats)
-    plan = []
-    for k, (c, u) in enumerate(zip(cells, uses, strict=True)):
-        whole = math.floor(u + 1e-9)
-        plan.append((*c[:3], k, whole, float((u - whole) * c[3]) if u - whole > 1e-9 else 0.0))
-    table_ = spark.createDataFrame(plan, "source string, lang string, subject string, cell int, base int, goal double")
+    goals = aims(sorted({p[0] for p in totals}), totals, shares, repeats)
+    pairs = spark.createDataFrame([(*p, k) for k, p in enumerate(goals.pairs)], "source string, lang string, pair int")
+    docs = docs.join(F.broadcast(pairs), ["source", "lang"])
+    cells = docs.groupBy("subject", "pair").agg(F.sum("tokens").alias("t")).filter("t > 0").repartition("subject").sortWithinPartitions("subject", "pair")
+    plan = shared_checkpoint(raked(goals, shared_checkpoint(cells)).withColumn("cell", F.monotonically_increasing_id()))
     # Buckets by the number of documents, so that no source is sorted in one task whatever its size.
     by_source: dict[str, int] = {}
     for r in rows:
@@ -128,21 +282,17 @@ def mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list, DataFrame]
     bits = max(1, math.ceil(math.log2(max(1, max(by_source.values()) / BUCKET))))
     pick = F.xxhash64("doc_id")
     placed = (
-        docs.join(table_.drop("goal"), ["source", "lang", "subject"])
+        docs.join(plan.drop("goal"), ["subject", "pair"])
         .withColumn("bucket", F.shiftrightunsigned(pick, 64 - bits)).withColumn("pick", F.shiftrightunsigned(F.shiftleft(pick, bits), bits))
     )
-    first = shared_checkpoint(filled(placed, table_.select("cell", "goal"), "cell"))
-    got = {r["source"]: r["t"] for r in first.filter("taken").groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
-    left = {x: -float(got.get(x, 0)) for x in sources}
-    for p in plan:
-        left[p[0]] += p[5]
-    gaps = spark.createDataFrame([(x, v, int(repeats[x])) for x, v in left.items()], "source string, left double, most int")
-    marked = first.join(F.broadcast(gaps), "source")  # one row a target, whose number is checked
-    # What rounding left in the cells is added to, or taken off, the source's documents that can still change.
-    open_ = F.when(F.col("left") > 0, ~F.col("taken") & (F.col("base") < F.col("most"))).otherwise(F.col("taken"))
-    changed = filled(marked.filter(open_).withColumnRenamed("taken", "was"), gaps.select("source", F.abs("left").alias("goal")), "source")
-    changed = changed.withColumn("taken", F.col("was") != F.col("taken")).drop("was")
-    final = marked.filter(~open_).unionByName(changed)
+    # Cells may be smaller than a document, so what rounding left is made up for by source and language, and then by source.
+    first = filled(placed, plan.select("cell", "goal"), "cell").join(F.broadcast(spark.createDataFrame(list(repeats.items()), "source string, most int")), "source")
+    # Added up as decimals, so that the order does not matter.
+    due = plan.groupBy("pair").agg(F.sum(F.col("goal").cast("decimal(28,6)")).alias("t")).collect()
+    by_pair, by_name = {r["pair"]: r["t"] for r in due}, {}
+    for k, t in by_pair.items():
+        by_name[goals.pairs[k][0]] = by_name.get(goals.pairs[k][0], 0) + t
+    final = made_up(made_up(first, by_pair, "pair", "int"), by_name, "source", "string")
     out = final.select("doc_id", "source", "tokens", (F.col("base") + F.col("taken").cast("int")).alias("copies")).filter("copies > 0")
     return out, targets, docs
 
